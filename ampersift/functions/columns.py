@@ -92,6 +92,16 @@ def similarity(distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + distance)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns that several later expressions read.
+
+    A plain projection may be inlined into every reader, filters included, and
+    then runs once per reader. A one-row generator is not inlined.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline_outer(packed))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

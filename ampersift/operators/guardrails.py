@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampersift.functions.columns import any_of, as_col, quoted
+from ampersift.functions.columns import any_of, as_col, computed_once, quoted
 from ampersift.operators.text import is_blank
 
 # Phrases that mark an injection attempt, in reporting order.
@@ -183,7 +183,7 @@ def detect_injection(df: DataFrame, text: str = "text") -> DataFrame:
         possible = F.lit(True)
         for fragment in _needed(pattern):
             possible = possible & F.contains(low, F.lit(fragment))
-        found = F.regexp_extract(low, F.lit(_jvm(pattern.lower())), F.lit(0))
+        found = F.regexp_extract(low, _jvm(pattern.lower()), 0)
         return F.struct(
             F.lit(shown).alias("pattern"),
             F.when(possible, found).otherwise("").alias("matched_text"),
@@ -193,12 +193,9 @@ def detect_injection(df: DataFrame, text: str = "text") -> DataFrame:
     maybe = any_of([F.contains(low, F.lit(o)) for o in openers])
     nothing = F.array().cast("array<struct<pattern:string,matched_text:string>>")
     matches = F.filter(F.array(*[hit(p) for p in INJECTION_PATTERNS]), lambda m: m["matched_text"] != "")
-    return (
-        df.withColumn("_low", _folded(quoted(text)))
-        .withColumn("matched_patterns", F.when(maybe, matches).otherwise(nothing))
-        .withColumn("injection_detected", F.size("matched_patterns") > 0)
-        .drop("_low")
-    )
+    folded = computed_once(df, {"_low": _folded(quoted(text))})
+    searched = computed_once(folded, {"matched_patterns": F.when(maybe, matches).otherwise(nothing)})
+    return searched.withColumn("injection_detected", F.size("matched_patterns") > 0).drop("_low")
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -216,7 +213,7 @@ def pii_count(kind: str, text: str | Column) -> Column:
 
 def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """``pii_<type>`` counts and ``pii_types``, one entry per match."""
-    counted = df.withColumns({f"pii_{k.lower()}": pii_count(k, quoted(text)) for k in PII_JVM})
+    counted = computed_once(df, {f"pii_{k.lower()}": pii_count(k, quoted(text)) for k in PII_JVM})
     entries = [F.array_repeat(F.lit(k), F.col(f"pii_{k.lower()}")) for k in PII_JVM]
     return counted.withColumn("pii_types", F.flatten(F.array(*entries)))
 
@@ -385,7 +382,7 @@ def moderate_output(
         else F.lit(False)
     )
     hinted = ~blank & hallucination_detected(t) if config.enable_hallucination_filter else F.lit(False)
-    flagged = df.withColumns({"_toxic": toxic, "_blocked": blocked, "hallucination_detected": hinted})
+    flagged = computed_once(df, {"_toxic": toxic, "_blocked": blocked, "hallucination_detected": hinted})
     entries = [
         F.when(
             too_long,

@@ -29,10 +29,25 @@ def moments(df: DataFrame, group: str, metric: str) -> DataFrame:
 
 
 def _pairs(stats: DataFrame) -> DataFrame:
-    """Each unordered pair of groups once; one row per group comes in."""
-    a = stats.select([F.col(c).alias(f"{c}_a") for c in stats.columns])
-    b = stats.select([F.col(c).alias(f"{c}_b") for c in stats.columns])
-    return a.join(b, F.col("g_a") < F.col("g_b"))
+    """Each unordered pair of groups once, from one row of figures per group.
+
+    Every group is sent to its pairs and the two sides meet in a grouping, so no
+    row is compared with all others.
+    """
+    figures = [c for c in stats.columns if c != "g"]
+    everyone = stats.agg(F.sort_array(F.collect_set("g"))).scalar()
+    sent = stats.withColumn("_other", F.explode(everyone)).filter(F.col("_other") != F.col("g"))
+    side = F.struct(*figures)
+    met = sent.groupBy(F.least("g", "_other").alias("g_a"), F.greatest("g", "_other").alias("g_b")).agg(
+        F.max(F.when(F.col("g") < F.col("_other"), side)).alias("_a"),
+        F.max(F.when(F.col("g") > F.col("_other"), side)).alias("_b"),
+    )
+    return met.select(
+        "g_a",
+        "g_b",
+        *[F.col(f"_a.{c}").alias(f"{c}_a") for c in figures],
+        *[F.col(f"_b.{c}").alias(f"{c}_b") for c in figures],
+    )
 
 
 def pairwise_ttest(df: DataFrame, group: str, metric: str, min_n: int = 2) -> DataFrame:

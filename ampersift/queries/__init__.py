@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("energy", "experiments")
+GROUPS = ("energy", "experiments", "safety")
 
 
 def load() -> tuple[dict, dict]:
