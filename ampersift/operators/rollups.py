@@ -43,7 +43,7 @@ def sliding(
     copies = range_seconds // step_seconds
     back = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     spread = steps.withColumn("_back", back).withColumn(
-        "_start", F.col("_tick") - F.col("_back") * F.lit(step_seconds * MICROS_PER_SECOND)
+        "_start", F.col("_tick") - F.col("_back").cast("long") * F.lit(step_seconds * MICROS_PER_SECOND)
     )
     return (
         spread.groupBy(*[quoted(b) for b in by], "_start")
@@ -136,7 +136,7 @@ def alert_for_duration(
         (F.col("n") / F.lit(float(range_seconds))).alias("rate"),
     ).filter(F.col("rate") > threshold)
     lane = Window.partitionBy(*(by_cols or [F.lit(0)])).orderBy("_at")
-    step = F.lit(eval_seconds * MICROS_PER_SECOND)
+    step = F.lit(eval_seconds * MICROS_PER_SECOND).cast("long")
     spells = grid.withColumn("_island", F.col("_at") - F.row_number().over(lane) * step)
     out = spells.groupBy(*by_cols, "_island").agg(
         F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("n_evals"),

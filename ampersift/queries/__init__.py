@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("energy", "experiments", "safety")
+GROUPS = ("energy", "experiments", "safety", "answers", "monitoring", "learning")
 
 
 def load() -> tuple[dict, dict]:

@@ -76,12 +76,16 @@ def windowed_counts(
     late: str = LATE_HORIZON,
 ) -> DataFrame:
     """Event counts per window and label, late rows accepted within the horizon."""
-    grain = F.window(quoted(ts), window, slide) if slide else F.window(quoted(ts), window)
+    grain = F.window("_at", window, slide) if slide else F.window("_at", window)
     return (
-        stream.withWatermark(ts, late)
+        # watermarks take zoned timestamps only; the session runs in UTC
+        stream.withColumn("_at", quoted(ts).cast(T.TimestampType()))
+        .withWatermark("_at", late)
         .groupBy(grain.alias("w"), *[quoted(b) for b in by])
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), *[quoted(b) for b in by], "n")
+        .select(
+            F.col("w.start").cast(T.TimestampNTZType()).alias("window_start"), *[quoted(b) for b in by], "n"
+        )
     )
 
 
