@@ -49,7 +49,9 @@ def parallel_arrays(
     fields = ", ".join(f"`{s}`: array<double>" for s in series)
     schema = f"struct<hourly: struct<time: array<string>, {fields}>>"
     parsed = df.select(*[quoted(k) for k in keep], F.from_json(quoted(payload), schema).alias("_p"))
-    zipped = F.arrays_zip(F.col("_p.hourly.time"), *[F.col(f"_p.hourly.`{s}`") for s in series])
+    none = F.array().cast("array<double>")
+    values = [F.coalesce(F.col(f"_p.hourly.`{s}`"), none).alias(s) for s in series]
+    zipped = F.arrays_zip(F.col("_p.hourly.time").alias("time"), *values)
     rows = parsed.select(*[quoted(k) for k in keep], F.explode(zipped).alias("_h"))
     return rows.select(
         *[quoted(k) for k in keep],

@@ -139,11 +139,14 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     files one by one.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{txt,md}")
+        spark.read.option("pathGlobFilter", "*.{txt,md}")
         .option("ignoreCorruptFiles", True)
-        .text(folder)
-        .select(F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+        .text(folder, wholetext=True)
+        .select(
+            F.col("_metadata.file_name").alias("filename"),
+            F.col("_metadata.file_path").alias("source"),
+            F.col("value").alias("text"),
+        )
     )
     if files.isEmpty():
         raise ValueError(f"No documents found in {folder}")
