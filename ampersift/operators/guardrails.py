@@ -161,7 +161,9 @@ PII_JVM = {
 
 def _folded(text: str | Column) -> Column:
     """Lower case, with the two letters that case-insensitive matching equates."""
-    return F.translate(F.lower(as_col(text)), "ſı", "si")
+    low = F.lower(as_col(text))
+    rare = F.contains(low, F.lit("ſ")) | F.contains(low, F.lit("ı"))
+    return F.when(rare, F.translate(low, "ſı", "si")).otherwise(low)
 
 
 def _needed(pattern: str) -> list[str]:
@@ -189,8 +191,8 @@ def detect_injection(df: DataFrame, text: str = "text") -> DataFrame:
             F.when(possible, found).otherwise("").alias("matched_text"),
         )
 
-    openers = sorted({_needed(p)[0] for p in INJECTION_PATTERNS})
-    maybe = any_of([F.contains(low, F.lit(o)) for o in openers])
+    telling = sorted({max(_needed(p), key=len) for p in INJECTION_PATTERNS})
+    maybe = any_of([F.contains(low, F.lit(f)) for f in telling])
     nothing = F.array().cast("array<struct<pattern:string,matched_text:string>>")
     matches = F.filter(F.array(*[hit(p) for p in INJECTION_PATTERNS]), lambda m: m["matched_text"] != "")
     folded = computed_once(df, {"_low": _folded(quoted(text))})

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import at_grain
 from ampersift.operators import features as fe
 from ampersift.operators import joins, rollups, sequences, stats, upserts
 from ampersift.plans import energy as plans
-from ampersift.queries.registry import HOURLY, R, Tables, query, r, rounded
+from ampersift.queries import registry
+from ampersift.queries.registry import HOURLY, Tables, query
 from ampersift.session import scratch_path
 from ampersift.sources import feeds, tables
 
+# Averages of two-decimal values end on a 5 too often for six digits.
+R = partial(registry.R, digits=9)
+r = partial(registry.r, digits=9)
+rounded = partial(registry.rounded, digits=9)
+
 MEASURES = ("price", "carbon", "wind", "radiation", "temperature")
 SQL_MEASURES = ", ".join(f"{R(m)} AS {m}" for m in MEASURES)
 
@@ -21,11 +29,11 @@ def scan_hourly(t: Tables):
     return rounded(t.hourly.filter(F.col("ts").isNotNull()), *MEASURES)
 
 
-@query("sink_roundtrip", f"WITH {HOURLY} SELECT series_id, ts, {R('price', 4)} AS price, carbon FROM hourly")
+@query("sink_roundtrip", f"WITH {HOURLY} SELECT series_id, ts, {R('price')} AS price, carbon FROM hourly")
 def sink_roundtrip(t: Tables):
     """Written as CSV and read back through a typed schema."""
     path = scratch_path(t.spark, "hourly-csv")
-    table = t.hourly.select("series_id", "ts", r("price", 4).alias("price"), "carbon")
+    table = t.hourly.select("series_id", "ts", r("price").alias("price"), "carbon")
     tables.write_csv(table, path, ts="ts")
     return tables.read_hourly_csv(t.spark, path, "series_id string, ts timestamp_ntz, price double, carbon double")
 
@@ -198,14 +206,14 @@ def metric_exposition(t: Tables):
            day(ts) AS day_of_month, weekofyear(ts) AS week_of_year,
            CAST(isodow(ts) >= 6 AS INT) AS is_weekend, CAST(hour(ts) BETWEEN 17 AND 21 AS INT) AS is_peak_hour,
            CAST(hour(ts) = 23 OR hour(ts) <= 6 AS INT) AS is_night,
-           {R('sin(2 * pi() * hour(ts) / 24)', 9)} AS hour_sin, {R('cos(2 * pi() * hour(ts) / 24)', 9)} AS hour_cos,
-           {R('sin(2 * pi() * month(ts) / 12)', 9)} AS month_sin, {R('cos(2 * pi() * month(ts) / 12)', 9)} AS month_cos
+           {R('sin(2 * pi() * hour(ts) / 24)')} AS hour_sin, {R('cos(2 * pi() * hour(ts) / 24)')} AS hour_cos,
+           {R('sin(2 * pi() * month(ts) / 12)')} AS month_sin, {R('cos(2 * pi() * month(ts) / 12)')} AS month_cos
     FROM hourly
     """,
 )
 def temporal_features(t: Tables):
     made = fe.temporal_features(t.hourly.select("series_id", "ts"), "ts")
-    return rounded(made, "hour_sin", "hour_cos", "month_sin", "month_cos", digits=9)
+    return rounded(made, "hour_sin", "hour_cos", "month_sin", "month_cos")
 
 
 @query(
@@ -215,7 +223,7 @@ def temporal_features(t: Tables):
     SELECT series_id, ts, {R('wind + radiation')} AS renewable_pct, carbon AS fossil_pct,
            {R('CASE WHEN temperature IS NOT NULL THEN greatest(18 - temperature, 0) END')} AS heating_demand,
            {R('CASE WHEN temperature IS NOT NULL THEN greatest(temperature - 22, 0) END')} AS cooling_demand,
-           {R('wind * radiation', 4)} AS wind_solar_combined, {R('carbon / (price + 1e-6)')} AS carbon_per_price
+           {R('wind * radiation', digits=4)} AS wind_solar_combined, {R('carbon / (price + 1e-6)')} AS carbon_per_price
     FROM hourly
     """,
 )
@@ -465,8 +473,8 @@ def standard_scale(t: Tables):
     "minmax_scale",
     """
     WITH f AS (SELECT min(value) AS lo, max(value) - min(value) AS span FROM events)
-    SELECT event_id, (round((value - lo) / CASE WHEN span = 0 THEN 1 ELSE span END, 6) + 0) AS mm_value,
-           (round(value, 6) + 0) AS restored FROM events, f
+    SELECT event_id, (round((value - lo) / CASE WHEN span = 0 THEN 1 ELSE span END, 9) + 0) AS mm_value,
+           (round(value, 9) + 0) AS restored FROM events, f
     """,
 )
 def minmax_scale(t: Tables):
@@ -509,7 +517,7 @@ def lag_by_time(t: Tables):
 
 def _rolled(column: str, window: str) -> str:
     full = f"CASE WHEN count({column}) OVER {window} = 24 THEN {{}}({column}) OVER {window} END"
-    mean, std = (R(full.format(f), 9) for f in ("avg", "stddev_samp"))
+    mean, std = (R(full.format(f)) for f in ("avg", "stddev_samp"))
     return f"{mean} AS {column}_rolling_24h_mean, {std} AS {column}_rolling_24h_std"
 
 
@@ -523,14 +531,14 @@ def _rolled(column: str, window: str) -> str:
 def rolling_features(t: Tables):
     made = fe.rolling_features(t.hourly, ["price", "carbon"], ts="ts")
     names = [f"{c}_rolling_24h_{k}" for c in ("price", "carbon") for k in ("mean", "std")]
-    return rounded(made.select("series_id", "ts", *names), *names, digits=9)
+    return rounded(made.select("series_id", "ts", *names), *names)
 
 
 @query(
     "make_sequences",
     f"""
     WITH {HOURLY}, w AS (
-      SELECT series_id, ts, {R('price', 4)} AS y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn,
+      SELECT series_id, ts, {R('price')} AS y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn,
              list(CAST(carbon AS BIGINT)) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS x
       FROM hourly)
     SELECT series_id, ts, y, array_to_string(x, ',') AS x FROM w WHERE rn > 24
@@ -538,7 +546,7 @@ def rolling_features(t: Tables):
 )
 def make_sequences(t: Tables):
     made = sequences.make_sequences(
-        t.hourly, F.col("carbon").cast("bigint"), 24, ts="ts", target=r("price", 4)
+        t.hourly, F.col("carbon").cast("bigint"), 24, ts="ts", target=r("price")
     )
     return made.select("series_id", "ts", "y", F.array_join("x", ",").alias("x"))
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ampersift.operators import experiments as ab
 from ampersift.operators import rollups
 from ampersift.session import prepare
-from ampersift.sources.tables import read_table
+from ampersift.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Tables whose rows are long texts, so that work per row outweighs a shuffle.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -25,7 +28,8 @@ class Tables:
     folder: str
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        table = read_table(self.spark, self.folder, name)
+        return spread(table) if name in TEXT_TABLES else table
 
     @property
     def hourly(self) -> DataFrame:

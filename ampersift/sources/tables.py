@@ -71,6 +71,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when a scan yields fewer partitions than cores.
+
+    For costly per-row work on a few unsplittable files. A large table has more
+    scan partitions than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_hourly_csv(
     spark: SparkSession, path: str, schema: T.StructType = ENERGY_SCHEMA, ts: str = "datetime"
 ) -> DataFrame:
