@@ -129,16 +129,21 @@ def assign_variant(
     Users map to a fixed variant; rows without a user are drawn at random.
     """
     who = quoted(user).cast("string")
-    position = F.when(F.length(who) > 0, user_bucket(who) / F.lit(100.0)).otherwise(F.rand(seed))
-    assigned = variant_for(position, experiment)
+    place = F.when(F.length(who) > 0, user_bucket(who) / F.lit(100.0)).otherwise(F.rand(seed))
+    # its own column, so that one draw is compared with all shares
+    placed = df.withColumn("_place", place)
+    assigned = variant_for(F.col("_place"), experiment)
     if override is None:
-        return df.withColumn("variant_id", assigned).withColumn("rejected", F.lit(False))
+        return placed.withColumns({"variant_id": assigned, "rejected": F.lit(False)}).drop("_place")
     asked = quoted(override)
-    given = F.length(asked) > 0
-    known = asked.isin(*[v.id for v in VARIANTS])
-    return df.withColumn(
-        "variant_id", F.when(F.coalesce(given, F.lit(False)), F.when(known, asked)).otherwise(assigned)
-    ).withColumn("rejected", F.coalesce(given & ~known, F.lit(False)))
+    given = F.coalesce(F.length(asked) > 0, F.lit(False))
+    known = F.coalesce(asked.isin(*[v.id for v in VARIANTS]), F.lit(False))
+    return placed.withColumns(
+        {
+            "variant_id": F.when(given, F.when(known, asked)).otherwise(assigned),
+            "rejected": given & ~known,
+        }
+    ).drop("_place")
 
 
 def estimate_tokens(text: str | Column) -> Column:

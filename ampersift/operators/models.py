@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import quoted
@@ -16,6 +18,13 @@ from ampersift.operators.sequences import forecast_calendar
 from ampersift.operators.stats import best_by, regression_metrics
 
 SEED = 42
+CONCURRENT_FITS = 4
+
+
+def _side_by_side(task: Callable, items: Iterable) -> list:
+    """Run a few fits at a time; each is a distributed job, the threads only wait."""
+    with ThreadPool(CONCURRENT_FITS) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(task), list(items))
 
 
 def fit_regressor(
@@ -67,17 +76,18 @@ def param_search(
 ) -> DataFrame:
     """Hold-out error of every parameter combination, best first.
 
-    The hold-out is later in time than the training rows. Each fit is a
-    distributed job; the loop runs over parameters only.
+    The hold-out is later in time than the training rows.
     """
-    spark = train.sparkSession
-    scored = []
-    for trial, values in enumerate(product(*grid.values())):
+
+    def trial(numbered: tuple) -> tuple:
+        number, values = numbered
         params = dict(zip(grid, values))
         model = fit_regressor(train, features, target, regressor, **params)
         row = evaluate(model, holdout, target).select("mse", "rmse", "mae", "r2").first()
-        scored.append((trial, ", ".join(f"{k}={v}" for k, v in params.items()), *map(float, row)))
-    return spark.createDataFrame(
+        return (number, ", ".join(f"{k}={v}" for k, v in params.items()), *map(float, row))
+
+    scored = _side_by_side(trial, enumerate(product(*grid.values())))
+    return train.sparkSession.createDataFrame(
         scored, "trial int, params string, mse double, rmse double, mae double, r2 double"
     ).orderBy("mse", "trial")
 
@@ -174,10 +184,8 @@ def walk_forward_eval(
 ) -> DataFrame:
     """RMSE per fold of a linear model trained on everything before the fold.
 
-    ``folds`` carries ``block`` and ``test_fold``. Folds are sequential by
-    nature; each fit and each evaluation is a distributed job.
+    ``folds`` carries ``block`` and ``test_fold``.
     """
-    spark = folds.sparkSession
     usable = folds.na.drop(subset=[*features, target])
     # as many rows as there are folds
     numbers = [
@@ -186,16 +194,17 @@ def walk_forward_eval(
     ]
     if max_fold is not None:
         numbers = [n for n in numbers if n <= max_fold]
-    scored = []
-    for fold in numbers:
+
+    def score(fold: int) -> tuple:
         train = usable.filter(F.col("block") <= fold)
         test = usable.filter(F.col("test_fold") == fold)
         try:
             model = fit_regressor(train, features, target, "lr", regParam=0.01)
             row = evaluate(model, test, target).select("n", "rmse", "mae").first()
-            scored.append((int(fold), int(row["n"]), float(row["rmse"]), float(row["mae"]), None))
+            return int(fold), int(row["n"]), float(row["rmse"]), float(row["mae"]), None
         except Exception as problem:  # a fold that cannot be fitted is reported, not fatal
-            scored.append((int(fold), 0, None, None, str(problem)[:200]))
-    return spark.createDataFrame(
-        scored, "fold int, test_rows long, rmse double, mae double, error string"
+            return int(fold), 0, None, None, str(problem)[:200]
+
+    return folds.sparkSession.createDataFrame(
+        _side_by_side(score, numbers), "fold int, test_rows long, rmse double, mae double, error string"
     )

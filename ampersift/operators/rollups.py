@@ -41,6 +41,8 @@ def sliding(
         *[F.sum(c).alias(n) for n, c in sums.items()]
     )
     copies = range_seconds // step_seconds
+    if copies == 1:
+        return steps.withColumn("window_start", from_micros(F.col("_tick"))).drop("_tick")
     back = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     spread = steps.withColumn("_back", back).withColumn(
         "_start", F.col("_tick") - F.col("_back").cast("long") * F.lit(step_seconds * MICROS_PER_SECOND)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ampersift.functions.columns import as_col, quoted, ratio
 from ampersift.operators.ordering import row_numbers
 from ampersift.operators.upserts import first_n
+from ampersift.session import freeze
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -107,7 +108,8 @@ def chunk_fixed(
 
 def number_chunks(chunks: DataFrame, order: Sequence[str] = ("doc_id", "chunk_pos")) -> DataFrame:
     """A dense ``chunk_id`` from 0 over all chunks in document order."""
-    return row_numbers(chunks, list(order), name="chunk_id").withColumn("chunk_id", F.col("chunk_id") - 1)
+    # range bounds are sampled first, which would split every text a second time
+    return row_numbers(freeze(chunks), list(order), name="chunk_id").withColumn("chunk_id", F.col("chunk_id") - 1)
 
 
 def index_metadata(

@@ -20,6 +20,12 @@ def test_assignment_is_stable_and_overrides_are_checked(spark):
     assert rows[4].variant_id in ab.TRAFFIC_SPLIT and rows[5].variant_id in ab.TRAFFIC_SPLIT
 
 
+def test_anonymous_questions_follow_the_split(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("string").alias("user_id"))
+    share = {r.variant_id: r["count"] / 20_000 for r in ab.assign_variant(df).groupBy("variant_id").count().collect()}
+    assert share == pytest.approx(ab.TRAFFIC_SPLIT, abs=0.02)
+
+
 def test_enabled_subset_and_default_shares():
     two = ab.Experiment.with_enabled(["concise", "unknown", "technical"])
     assert [v.id for v in two.variants] == ["concise", "technical"] and two.fallback == "concise"
