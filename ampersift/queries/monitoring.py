@@ -252,7 +252,8 @@ def session_activity(t: Tables):
 
 def _stream(t: Tables, name: str):
     schema = getattr(t, name).schema
-    return jobs.stream_table(t.spark, t.folder, schema, f"{name}.parquet")
+    # a pattern fits a single file and a folder of files alike
+    return jobs.stream_table(t.spark, f"{t.folder}/{name}.parquet*", schema)
 
 
 @query(

@@ -23,13 +23,13 @@ LATE_HORIZON = "3 days"
 
 
 def stream_table(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """A Parquet folder, or a path pattern, as a stream."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def drain(
@@ -39,7 +39,12 @@ def drain(
     shape: Callable[[DataFrame], DataFrame] | None = None,
     mode: str = "append",
 ) -> None:
-    """Process everything available, one folder per micro-batch, then stop."""
+    """Process everything available, one folder per micro-batch, then stop.
+
+    An empty first folder gives the target its schema, also when nothing arrives.
+    """
+    blank = stream.sparkSession.createDataFrame([], stream.schema)
+    (shape(blank) if shape else blank).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
     def store(batch: DataFrame, number: int) -> None:
         out = shape(batch) if shape else batch

@@ -45,6 +45,13 @@ def test_restart_does_not_double_rows(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 10
 
 
+def test_nothing_to_stream_is_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "k int, v int")
+    df.write.parquet(f"{tmp_path}/src")
+    jobs.upsert_stream(jobs.stream_table(spark, f"{tmp_path}/src", df.schema), f"{tmp_path}/out", f"{tmp_path}/ck", ["k"], ["v"])
+    assert jobs.read_latest(spark, f"{tmp_path}/out", ["k"], ["v"]).count() == 0
+
+
 def test_violation_windows(spark, tmp_path):
     rows = [("fine", T0), ("jailbreak", T0), ("a@b.com", T0 + dt.timedelta(hours=2))]
     df = spark.createDataFrame(rows, "text string, ts timestamp_ntz")
