@@ -18,7 +18,11 @@ from ampersift.functions.columns import quoted, similarity
 
 # Most query vectors carried to the tasks in one closure (2,048 x 384 doubles = 6 MB).
 BLOCK_ROWS = 2048
+# Sizes of a block and a shard that meet in one task (16,384 + 50,000 vectors of
+# 384 doubles = 200 MB); the corpus is copied once per block.
+PAIR_ROWS = 16_384
 SHARD_ROWS = 50_000
+_STRIP_ROWS = 256  # queries measured at a time, which bounds the distance matrix
 _MERGE_LANES = 64
 
 
@@ -30,18 +34,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _closest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """Per query the positions and squared distances of the k nearest, ties by id."""
-    gaps = (
-        (queries * queries).sum(1)[:, None]
-        + (vectors * vectors).sum(1)[None, :]
-        - 2.0 * queries @ vectors.T
-    )
     k = min(k, len(ids))
-    for row, near in enumerate(gaps):
-        limit = np.partition(near, k - 1)[k - 1] + 1e-9
-        spots = np.flatnonzero(near <= limit)
-        exact = ((vectors[spots] - queries[row]) ** 2).sum(1)
-        best = np.lexsort((ids[spots], exact))[:k]
-        yield row, spots[best], exact[best]
+    lengths = (vectors * vectors).sum(1)
+    for first in range(0, len(queries), _STRIP_ROWS):
+        strip = queries[first : first + _STRIP_ROWS]
+        gaps = (strip * strip).sum(1)[:, None] + lengths[None, :] - 2.0 * strip @ vectors.T
+        # the expanded form loses digits, so everything close to the limit is measured again
+        slack = 1e-9 * (1.0 + lengths.max())
+        for row, near in enumerate(gaps):
+            spots = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + slack)
+            exact = ((vectors[spots] - strip[row]) ** 2).sum(1)
+            best = np.lexsort((ids[spots], exact))[:k]
+            yield first + row, spots[best], exact[best]
 
 
 def _merge(partial: DataFrame, k: int) -> DataFrame:
@@ -129,6 +133,7 @@ def knn_topk(
     doc_id: str = "doc_id",
     doc_vector: str = "vector",
     block_rows: int = BLOCK_ROWS,
+    pair_rows: int = PAIR_ROWS,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """The k nearest corpus vectors of every query by squared L2 distance.
@@ -136,7 +141,7 @@ def knn_topk(
     Ranks are those before thresholding; a threshold of 0 or None keeps all. Up
     to ``block_rows`` queries (checked by counting) travel with the tasks and
     the corpus is read once without a shuffle; more queries are cut into blocks
-    and met with corpus shards of about ``shard_rows``.
+    of about ``pair_rows`` that meet corpus shards of about ``shard_rows``.
     """
     q = queries.select(quoted(query_id).cast("long").alias("query_id"), quoted(query_vector).alias("vector"))
     c = corpus.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(doc_vector).alias("vector"))
@@ -146,7 +151,7 @@ def knn_topk(
     elif len(head) <= block_rows:
         partial = _carried(head, c, k)
     else:
-        blocks = -(-q.count() // block_rows)
+        blocks = -(-q.count() // pair_rows)
         shards = max(1, -(-c.count() // shard_rows))
         partial = _blocked(q, c, k, blocks, shards)
     ranked = _merge(partial, k).withColumn("score", similarity(F.col("distance")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import quoted
-from ampersift.operators.ordering import row_numbers
+from ampersift.operators.ordering import leading_share, row_numbers
 
 
 def _lane(series: Sequence[str], ts: str) -> Window:
@@ -72,20 +72,25 @@ def make_multi_horizon(
 
 
 def chrono_split(
-    df: DataFrame, order: Sequence[str], share: float = 0.8, by: Sequence[str] = ()
+    df: DataFrame, order: Sequence[str], share: float = 0.8, by: Sequence[str] = (), numbered: bool = False
 ) -> DataFrame:
-    """``split`` = train for the first int(share·n) rows, then val."""
-    numbered = row_numbers(df, list(order), by, name="row_no", total="n_rows")
-    cut = F.floor(F.lit(share) * F.col("n_rows"))
-    return numbered.withColumn("split", F.when(F.col("row_no") <= cut, "train").otherwise("val"))
+    """``split`` = train for the first int(share·n) rows, then val.
+
+    ``numbered`` adds the row number ``row_no`` and group size ``n_rows``, at the
+    price of ordering all rows.
+    """
+    if numbered:
+        rows = row_numbers(df, list(order), by, name="row_no", total="n_rows")
+        first = F.col("row_no") <= F.floor(F.lit(share) * F.col("n_rows"))
+        return rows.withColumn("split", F.when(first, "train").otherwise("val"))
+    marked = leading_share(df, order, share, by, "_first")
+    return marked.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_first")
 
 
 def half_split(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``half`` = reference for the first n // 2 rows, then current."""
-    numbered = row_numbers(df, list(order), by, name="row_no", total="n_rows")
-    return numbered.withColumn(
-        "half", F.when(F.col("row_no") <= F.floor(F.col("n_rows") / 2), "reference").otherwise("current")
-    )
+    marked = leading_share(df, order, 0.5, by, "_first")
+    return marked.withColumn("half", F.when(F.col("_first"), "reference").otherwise("current")).drop("_first")
 
 
 def walk_forward_folds(

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine
+from ampersift.operators import guardrails as gr
 from ampersift.operators import retrieval as rt
 from ampersift.operators import text
+from ampersift.plans import answering
 from ampersift.queries.registry import MESSAGES, R, Tables, query, r, rounded
+from ampersift.queries.safety import BLANK, VERDICT, quoted_sql
 from ampersift.session import scratch_path
 from ampersift.sources import tables
 
@@ -126,7 +129,7 @@ def knn_topk(t: Tables):
 )
 def knn_threshold(t: Tables):
     """Original ranks survive the score threshold; blocks meet shards."""
-    made = rt.knn_topk(_questions(t), _corpus(t), k=10, score_threshold=0.515, block_rows=4)
+    made = rt.knn_topk(_questions(t), _corpus(t), k=10, score_threshold=0.515, block_rows=4, pair_rows=4)
     return rounded(made, "distance", "score")
 
 
@@ -273,17 +276,46 @@ def conversation_history(t: Tables):
     return text.conversation_history(t.conversations, text.last_user_turns(t.conversations))
 
 
-@query("prepare_prompts")
+PROMPTS = f"""{MESSAGES}, lastq AS (SELECT conv_id, max(turn) AS turn FROM messages WHERE role = 'user' GROUP BY 1),
+  asked AS (SELECT m.conv_id, m.text, CAST(e.embedding AS DOUBLE[]) AS q FROM messages m JOIN lastq USING (conv_id, turn) JOIN embeddings e ON e.vec_id = m.conv_id WHERE m.role = 'user'),
+  {VERDICT}, ok AS (SELECT conv_id, q, text, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS b FROM verdicts WHERE violation IS NULL),
+  corpus AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, text AS chunk FROM embeddings JOIN documents ON doc_id = vec_id),
+  near AS (SELECT conv_id, chunk, row_number() OVER (PARTITION BY conv_id ORDER BY list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), doc_id) AS rank FROM ok, corpus),
+  ctx AS (SELECT conv_id, string_agg(chunk, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 3 GROUP BY 1)"""
+
+
+@query(
+    "prepare_prompts",
+    f"""
+    WITH {PROMPTS} SELECT conv_id AS query_id, CASE WHEN b <= 40 THEN 'control' WHEN b <= 60 THEN 'concise' WHEN b <= 80 THEN 'detailed' ELSE 'conversational' END AS variant_id,
+      length(context) + 2 + length(text) AS n, md5(context || chr(10) || chr(10) || text) AS digest FROM ok JOIN ctx USING (conv_id)
+    """,
+)
 def prepare_prompts(t: Tables):
     """Questions assigned, screened, retrieved for and turned into prompts."""
-    from ampersift.plans.answering import prepare_prompts as plan
-    from ampersift.plans.answering import screen_questions
-
     vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
     asked = t.messages.filter("role = 'user'").withColumn("user_id", F.col("conv_id"))
     live = asked.join(text.last_user_turns(t.messages), ["conv_id", "turn"]).join(vectors, "conv_id")
-    screened = screen_questions(live, "text").filter("admitted")
+    screened = answering.screen_questions(live, "text").filter("admitted")
     ready = screened.withColumn("query_id", F.col("conv_id"))
     chunks = t.documents.join(_corpus(t), "doc_id").select("doc_id", "vector", F.col("text").alias("chunk_text"))
-    made = plan(ready, chunks)
-    return made.select("query_id", "variant_id", F.length("prompt").alias("n"))
+    made = answering.prepare_prompts(ready, chunks)
+    return made.select("query_id", "variant_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+
+
+@query(
+    "log_answers",
+    f"""
+    WITH {MESSAGES}, a AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM messages q JOIN messages a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'),
+    g AS (SELECT conv_id, turn, question, CASE WHEN length(answer) > 2048 OR {BLANK.replace('text', 'answer')} THEN {quoted_sql(gr.BLOCKED_ANSWER)} ELSE answer END AS reply FROM a)
+    SELECT conv_id, turn, md5(reply) AS digest, length(question) // 4 AS tokens_input, length(reply) // 4 AS tokens_output,
+      {R("(length(question) // 4) * (0.075::DOUBLE / 1000000) + (length(reply) // 4) * (0.30::DOUBLE / 1000000)", 9)} AS cost FROM g
+    """,
+)
+def log_answers(t: Tables):
+    """Assistant turns moderated, blocked where needed, priced and logged."""
+    said = t.messages
+    asked = said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    told = said.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    made = answering.log_answers(asked.join(told, ["conv_id", "turn"]), "question")
+    return made.select("conv_id", "turn", F.md5("answer").alias("digest"), "tokens_input", "tokens_output", r("cost", 9).alias("cost"))

@@ -579,7 +579,24 @@ def make_multi_horizon(t: Tables):
 )
 def chrono_split(t: Tables):
     rows = t.orders.select("o_orderkey", "o_orderdate")
-    return sequences.chrono_split(rows, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_no", "split")
+    made = sequences.chrono_split(rows, ["o_orderdate", "o_orderkey"], numbered=True)
+    return made.select("o_orderkey", "row_no", "split")
+
+
+@query(
+    "train_split",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate,
+           CASE WHEN row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)
+                <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'val' END AS split
+    FROM lineitem
+    """,
+)
+def train_split(t: Tables):
+    """The same rule without row numbers: many rows tie on the ship date."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    made = sequences.chrono_split(t.lineitem.select(*order), order)
+    return made.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "split")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Models on hourly features. Results depend on the learner, so only rows are checked."""
+"""Models on hourly features. Fitted results depend on the learner, so only their rows are checked."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ampersift.operators import features as fe
 from ampersift.operators import models, sequences
-from ampersift.queries.registry import Tables, query, rounded
+from ampersift.queries.registry import HOURLY, Tables, query, rounded
 
 INPUTS = ("hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "price_lag_1h", "price_lag_24h", "carbon", "wind")
 SMALL = {"numTrees": 10, "maxDepth": 4}
@@ -64,7 +64,25 @@ def model_selection(t: Tables):
     return models.best_model(metrics)
 
 
-@query("training_metadata")
+@query(
+    "training_rows",
+    f"""
+    WITH {HOURLY}, l AS (SELECT series_id, ts, lag(price, 24) OVER (PARTITION BY series_id ORDER BY ts) AS day_before FROM hourly),
+    k AS (SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM l WHERE day_before IS NOT NULL)
+    SELECT series_id, ts, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS split FROM k
+    """,
+)
+def labelled_rows(t: Tables):
+    return training_rows(t).select("series_id", "ts", "split")
+
+
+@query(
+    "training_metadata",
+    f"""
+    WITH {HOURLY}, l AS (SELECT series_id, ts, lag(price, 24) OVER (PARTITION BY series_id ORDER BY ts) AS day_before FROM hourly)
+    SELECT 'rf' AS model_type, {len(INPUTS)} AS n_features, count(*) AS n_rows, min(ts) AS data_from, max(ts) AS data_to FROM l WHERE day_before IS NOT NULL
+    """,
+)
 def training_metadata(t: Tables):
     rows = training_rows(t)
     return models.training_metadata(rows, INPUTS, "price", "ts", "rf").select(

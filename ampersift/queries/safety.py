@@ -13,14 +13,14 @@ from ampersift.sources import tables
 LOW = "translate(lower(text), 'ſı', 'si')"
 
 
-def _sql(text: str) -> str:
+def quoted_sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 INJECTION_LIST = ", ".join(
-    f"CASE WHEN regexp_matches(low, {_sql(p.lower())}) THEN {_sql(p)} END" for p in gr.INJECTION_PATTERNS
+    f"CASE WHEN regexp_matches(low, {quoted_sql(p.lower())}) THEN {quoted_sql(p)} END" for p in gr.INJECTION_PATTERNS
 )
-INJECTED = "(" + " OR ".join(f"regexp_matches(low, {_sql(p.lower())})" for p in gr.INJECTION_PATTERNS) + ")"
+INJECTED = "(" + " OR ".join(f"regexp_matches(low, {quoted_sql(p.lower())})" for p in gr.INJECTION_PATTERNS) + ")"
 BLANK = r"regexp_full_match(text, '[\s\x1c-\x1f\x{0085}\p{Z}]*')"
 SPACE = r"[\s\p{Z}]"
 EDGE = r"[^\p{L}\p{N}_]"
@@ -38,10 +38,10 @@ EMAIL = r"[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 def _count(pattern: str, opened: bool = True) -> str:
     edge = r"\b" if opened else ""
-    return f"len(regexp_extract_all(plain, {_sql(edge + pattern + chr(92) + 'b')}))"
+    return f"len(regexp_extract_all(plain, {quoted_sql(edge + pattern + chr(92) + 'b')}))"
 
 
-PII_COUNTS = f"""CAST(len(regexp_extract_all(plain, {_sql(chr(92) + 'b' + EMAIL + chr(92) + 'b')})) AS INT) AS pii_email,
+PII_COUNTS = f"""CAST(len(regexp_extract_all(plain, {quoted_sql(chr(92) + 'b' + EMAIL + chr(92) + 'b')})) AS INT) AS pii_email,
   CAST({_count(DIGITS['PHONE1'])} + {_count(DIGITS['PHONE2'], False)} + {_count(DIGITS['PHONE3'], False)} AS INT) AS pii_phone,
   CAST({_count(DIGITS['SSN'])} AS INT) AS pii_ssn, CAST({_count(DIGITS['CARD'])} AS INT) AS pii_credit_card"""
 
@@ -53,7 +53,7 @@ def _masked(text: str) -> str:
     steps += [("PHONE", DIGITS["PHONE2"], False), ("PHONE", DIGITS["PHONE1"], True), ("SSN", DIGITS["SSN"], True)]
     for kind, pattern, opened in steps:
         edge = r"\b" if opened else ""
-        out = f"regexp_replace({out}, {_sql(edge + pattern + chr(92) + 'b')}, '<{kind}>', 'g')"
+        out = f"regexp_replace({out}, {quoted_sql(edge + pattern + chr(92) + 'b')}, '<{kind}>', 'g')"
     return out
 
 
@@ -155,13 +155,13 @@ def validate_input(t: Tables):
 
 
 HINTS = [p.replace(r"\s", SPACE) for p in gr.HEDGING_PATTERNS]
-HINTED = "(" + " OR ".join(f"regexp_matches({LOW}, {_sql(p)})" for p in HINTS) + ")"
+HINTED = "(" + " OR ".join(f"regexp_matches({LOW}, {quoted_sql(p)})" for p in HINTS) + ")"
 
 
 @query(
     "hallucination_flags",
     f"""
-    WITH {MESSAGES}, h AS (SELECT conv_id, turn, list_filter([{", ".join(f"{{'p': {i}, 'm': array_to_string(regexp_extract_all({LOW}, {_sql(p)}, 1), ',')}}" for i, p in enumerate(HINTS))}], lambda x: regexp_matches({LOW}, list_extract([{", ".join(_sql(p) for p in HINTS)}], x.p + 1))) AS hits FROM messages)
+    WITH {MESSAGES}, h AS (SELECT conv_id, turn, list_filter([{", ".join(f"{{'p': {i}, 'm': array_to_string(regexp_extract_all({LOW}, {quoted_sql(p)}, 1), ',')}}" for i, p in enumerate(HINTS))}], lambda x: regexp_matches({LOW}, list_extract([{", ".join(quoted_sql(p) for p in HINTS)}], x.p + 1))) AS hits FROM messages)
     SELECT conv_id, turn, len(hits) > 0 AS hallucination_detected, array_to_string(list_transform(hits, lambda x: x.p || ':' || x.m), ';') AS indicators FROM h
     """,
 )
@@ -303,7 +303,7 @@ def guardrail_log_sink(t: Tables):
     WITH {MESSAGES}, asked AS (SELECT q.conv_id, q.turn, q.text, a.text AS answer FROM messages q JOIN messages a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'), {VERDICT},
     m AS (SELECT conv_id, turn, violation IS NULL AS input_passed, text, answer, NOT (length(answer) > 2048 OR {BLANK.replace('text', 'answer')} OR (conv_id % 10) / 10 > 0.7) AS output_passed FROM verdicts)
     SELECT conv_id, turn, input_passed AND output_passed AS success, CASE WHEN NOT input_passed THEN 'Input validation failed' WHEN NOT output_passed THEN 'Output moderation failed' END AS error,
-      md5(CASE WHEN input_passed AND output_passed THEN substr(answer, 1, 2048) ELSE {_sql(gr.REFUSAL)} END) AS digest FROM m
+      md5(CASE WHEN input_passed AND output_passed THEN substr(answer, 1, 2048) ELSE {quoted_sql(gr.REFUSAL)} END) AS digest FROM m
     """,
 )
 def guarded_response(t: Tables):

@@ -68,3 +68,44 @@ def test_splits_of_odd_and_empty_tables(spark):
     train = sequences.chrono_split(five, ["id"]).filter("split = 'train'").count()
     assert train == 4
     assert sequences.half_split(five.limit(0), ["id"]).count() == 0
+
+
+def test_selection_with_ties_and_groups(skewed):
+    rows, df = skewed
+    for share in (0.0, 0.13, 0.5, 0.8, 1.0):
+        got = {r.id: r.leading for r in ordering.leading_share(df, ["v", "id"], share, ["g"]).collect()}
+        for group in {"hot", "a", "b", "c"}:
+            members = [i for _, i in sorted((v, i) for i, g, v in rows if g == group)]
+            cut = int(share * len(members))
+            assert [got[i] for i in members] == [k < cut for k in range(len(members))]
+
+
+def test_selection_falls_back_when_the_sketch_misses(skewed, monkeypatch):
+    rows, df = skewed
+    full = ordering._condensed
+    monkeypatch.setattr(ordering, "_condensed", lambda values, shares, by: full(values, [0.01], by))
+    got = ordering.exact_quantiles(df, "v", {"q": 0.7}).first().q
+    assert got == pytest.approx(np.quantile([v for _, _, v in rows], 0.7))
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    rng = np.random.default_rng(0)
+    values = rng.lognormal(size=20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    wanted = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0, "f": 0.0}
+    row = ordering.exact_quantiles(df, "v", wanted).first()
+    assert [row[k] for k in wanted] == pytest.approx(list(np.quantile(values, list(wanted.values()))))
+
+
+def test_condensed_cells_are_few(spark):
+    df = spark.range(50_000).select(F.rand(1).alias("_v")).repartition(6)
+    cells = ordering._condensed(df, [0.5], [])
+    assert cells.count() < 600 and cells.agg(F.sum("n")).first()[0] == 50_000
+
+
+def test_null_group_and_text_order(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x")], "id int, g string")
+    got = {r.id: r.leading for r in ordering.leading_share(df, ["id"], 0.5, ["g"]).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+    with pytest.raises(TypeError):
+        ordering.leading_share(df, ["g"], 0.5)

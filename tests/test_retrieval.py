@@ -30,7 +30,7 @@ def expected(queries, corpus, k):
 @pytest.mark.parametrize("block_rows, shard_rows", [(2048, 50_000), (3, 40)])
 def test_both_paths_match_brute_force(vectors, block_rows, shard_rows):
     queries, corpus, q, c = vectors
-    got = rt.knn_topk(q, c, 5, block_rows=block_rows, shard_rows=shard_rows).collect()
+    got = rt.knn_topk(q, c, 5, block_rows=block_rows, pair_rows=block_rows, shard_rows=shard_rows).collect()
     want = expected(queries, corpus, 5)
     assert {(r.query_id, r.rank): r.doc_id for r in got} == {key: j for key, (j, _) in want.items()}
     for r in got:
