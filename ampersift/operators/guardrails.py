@@ -179,22 +179,28 @@ def detect_injection(df: DataFrame, text: str = "text") -> DataFrame:
     pattern runs only where all its literal fragments occur.
     """
     low = F.col("_low")
-
-    def hit(pattern: str) -> Column:
-        shown = pattern[:50] + "..." if len(pattern) > 50 else pattern
-        possible = F.lit(True)
-        for fragment in _needed(pattern):
-            possible = possible & F.contains(low, F.lit(fragment))
-        found = F.regexp_extract(low, _jvm(pattern.lower()), 0)
-        return F.struct(
-            F.lit(shown).alias("pattern"),
-            F.when(possible, found).otherwise("").alias("matched_text"),
-        )
-
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(p[:50] + "..." if len(p) > 50 else p).alias("pattern"),
+                F.lit(_jvm(p.lower())).alias("regex"),
+                F.array(*[F.lit(f) for f in _needed(p)]).alias("needs"),
+            )
+            for p in INJECTION_PATTERNS
+        ]
+    )
+    possible = F.filter(rules, lambda p: F.forall(p["needs"], lambda f: F.contains(low, f)))
+    found = F.transform(
+        possible,
+        lambda p: F.struct(
+            p["pattern"].alias("pattern"),
+            F.call_function("regexp_extract", low, p["regex"], F.lit(0)).alias("matched_text"),
+        ),
+    )
     telling = sorted({max(_needed(p), key=len) for p in INJECTION_PATTERNS})
     maybe = any_of([F.contains(low, F.lit(f)) for f in telling])
     nothing = F.array().cast("array<struct<pattern:string,matched_text:string>>")
-    matches = F.filter(F.array(*[hit(p) for p in INJECTION_PATTERNS]), lambda m: m["matched_text"] != "")
+    matches = F.filter(found, lambda m: m["matched_text"] != "")
     folded = computed_once(df, {"_low": _folded(quoted(text))})
     searched = computed_once(folded, {"matched_patterns": F.when(maybe, matches).otherwise(nothing)})
     return searched.withColumn("injection_detected", F.size("matched_patterns") > 0).drop("_low")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampersift.functions.columns import all_of, any_of, micros
-from ampersift.session import freeze
+from ampersift.session import freeze, small_side
 
 SKETCH_ACCURACY = 1000  # a rank error of at most a thousandth of the group
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in the low 33 bits
@@ -50,6 +50,7 @@ def _attach(rows: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "_slice"]
     right = spans.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     if by:
+        right = small_side(right)
         match = all_of([F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys])
     else:
         # one row per slice of the exchange, so the build side is as small as the partition count
@@ -125,12 +126,13 @@ def _join_group(rows: DataFrame, figures: DataFrame, by: Sequence[str], name: st
     """Give every row its group's figures as one struct column ``name``.
 
     Without groups the one row travels as a scalar subquery. Otherwise the side
-    joined holds a row per group, and a hot group is split by the skew join.
+    joined holds a row per group; if there are too many groups to broadcast, a
+    hot one is split by the skew join.
     """
     packed = F.struct(*[c for c in figures.columns if c not in by]).alias(name)
     if not by:
         return rows.withColumn(name, figures.select(packed).scalar())
-    right = figures.select(*[F.col(f"`{b}`").alias(f"_g_{b}") for b in by], packed)
+    right = small_side(figures.select(*[F.col(f"`{b}`").alias(f"_g_{b}") for b in by], packed))
     match = all_of([F.col(f"`{b}`").eqNullSafe(F.col(f"`_g_{b}`")) for b in by])
     return rows.join(right, match, "left").drop(*[f"_g_{b}" for b in by])
 

@@ -14,7 +14,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampersift.functions.columns import quoted, similarity
+from ampersift.functions.columns import cosine, quoted, similarity
+from ampersift.session import small_side
 
 # Most query vectors carried to the tasks in one closure (2,048 x 384 doubles = 6 MB).
 BLOCK_ROWS = 2048
@@ -170,6 +171,12 @@ def mean_vectors(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame
     )
 
 
+def similarity_to_mean(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """Cosine ``similarity`` of every vector to the mean of its group."""
+    means = small_side(mean_vectors(df, by, vector).withColumnRenamed("vector", "_mean"))
+    return df.join(means, by).withColumn("similarity", cosine(quoted(vector), F.col("_mean"))).drop("_mean")
+
+
 def source_rows(hits: DataFrame, documents: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """Hits with the first 300 characters, source and score of their document."""
     return hits.join(documents, "doc_id").select(

@@ -194,9 +194,8 @@ def build_prompts(t: Tables):
 )
 def cosine_pairs(t: Tables):
     """Every vector against the mean of its label."""
-    means = rt.mean_vectors(t.embeddings, "label").withColumnRenamed("vector", "mean")
-    pairs = t.embeddings.join(means, "label").select("vec_id", cosine(F.col("embedding"), F.col("mean")).alias("s"))
-    return pairs.select("vec_id", r("s").alias("similarity"), text.similarity_band("s").alias("band"))
+    made = rt.similarity_to_mean(t.embeddings, "label")
+    return made.select("vec_id", r("similarity").alias("similarity"), text.similarity_band("similarity").alias("band"))
 
 
 @query("answer_eval")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Most rows of a join side that is sent to every executor.
+BROADCAST_ROWS = 100_000
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -72,6 +76,17 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """A grouped table to join to many rows: stored, counted, and broadcast if small.
+
+    Without the hint the other side would be shuffled before adaptive execution
+    learns the size. A larger table is joined the ordinary way.
+    """
+    stored = freeze(df)
+    few = stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(stored) if few else stored
+
+
 def ship_package() -> None:
     """Send this package's functions to Python workers by value, so executors
     need no installed copy."""

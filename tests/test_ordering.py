@@ -109,3 +109,12 @@ def test_null_group_and_text_order(spark):
     assert got == {1: True, 2: False, 3: True, 4: False}
     with pytest.raises(TypeError):
         ordering.leading_share(df, ["g"], 0.5)
+
+
+def test_many_groups_are_joined_without_broadcast(skewed, monkeypatch):
+    rows, df = skewed
+    monkeypatch.setattr("ampersift.session.BROADCAST_ROWS", 0)
+    got = {r.id: r.row_no for r in ordering.row_numbers(df, ["v", "id"], ["g"]).collect()}
+    hot = [i for _, i in sorted((v, i) for i, g, v in rows if g == "hot")]
+    assert [got[i] for i in hot] == list(range(1, len(hot) + 1))
+    assert ordering.exact_quantiles(df, "v", {"q": 0.5}, ["g"]).count() == 4
