@@ -12,8 +12,11 @@ sketch brackets them, one more pass counts, and rows are never sorted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +88,51 @@ def row_numbers(
     )
 
 
+def _sums_in_slices(
+    placed: DataFrame, sums: Sequence[str], by: Sequence[str], previous: str | None
+) -> DataFrame:
+    """Running sums ``_l_<c>`` and the previous value ``_near`` within each slice.
+
+    A slice is one stored, sorted partition, so one pass over its batches is
+    enough; a window would shuffle and sort all rows once more.
+    """
+    wide = placed.withColumns({f"_l_{c}": F.col(c) for c in sums})
+    if previous:
+        wide = wide.withColumn("_near", F.col(previous))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carried, before = None, dict.fromkeys(sums, 0), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = np.zeros(n, dtype=bool)
+            for b in by:
+                codes = batch.column(b).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                fresh[1:] |= codes[1:] != codes[:-1]
+            opening = tuple(batch.column(b)[0].as_py() for b in by)
+            fresh[0] = group is None or opening != group
+            starts = np.flatnonzero(fresh)
+            run = np.cumsum(fresh) - 1
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            for c in sums:
+                values = batch.column(c).to_numpy(zero_copy_only=False)
+                total = np.cumsum(values) + (0 if fresh[0] else carried[c])
+                base = np.where(run >= 0, (total - values)[starts][run], 0) if len(starts) else 0
+                total = total - base
+                carried[c] = total[-1]
+                columns[f"_l_{c}"] = pa.array(total, columns[f"_l_{c}"].type)
+            if previous:
+                own = batch.column(previous)
+                shifted = pa.concat_arrays([pa.array([before], own.type), own.slice(0, n - 1)])
+                columns["_near"] = pc.if_else(pa.array(fresh), pa.scalar(None, own.type), shifted)
+                before = own[n - 1].as_py()
+            group = tuple(batch.column(b)[n - 1].as_py() for b in by)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return wide.mapInArrow(scan, wide.schema)
+
+
 def prefix_sums(
     df: DataFrame,
     order: Sequence[str],
@@ -95,7 +143,8 @@ def prefix_sums(
     """Running sums ``cum_<c>`` (current row included) and totals ``all_<c>``.
 
     ``previous`` adds ``prev_<c>``, that column's value on the row before.
-    Meant for rows already grouped to one per order key.
+    Meant for rows already grouped to one per order key; the summed columns are
+    whole or floating numbers without gaps.
     """
     placed = order_globally(df, *by, *order)
     figures = [F.sum(c).alias(f"_s_{c}") for c in sums]
@@ -108,11 +157,8 @@ def prefix_sums(
         {f"_b_{c}": F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)) for c in sums}
         | {f"all_{c}": F.sum(f"_s_{c}").over(group) for c in sums}
     ).drop(*[f"_s_{c}" for c in sums])
-    lane = Window.partitionBy(*by, "_slice").orderBy("_place")
-    within = lane.rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({f"_l_{c}": F.sum(c).over(within) for c in sums})
+    local = _sums_in_slices(placed, sums, by, previous)
     if previous:
-        local = local.withColumn("_near", F.lag(previous).over(lane))
         spans = spans.withColumn("_far", F.lag("_final").over(group.orderBy("_slice"))).drop("_final")
     summed = _attach(local, spans, by).withColumns(
         {f"cum_{c}": F.col(f"_l_{c}") + F.col(f"_b_{c}") for c in sums}

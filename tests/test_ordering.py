@@ -118,3 +118,23 @@ def test_many_groups_are_joined_without_broadcast(skewed, monkeypatch):
     hot = [i for _, i in sorted((v, i) for i, g, v in rows if g == "hot")]
     assert [got[i] for i in hot] == list(range(1, len(hot) + 1))
     assert ordering.exact_quantiles(df, "v", {"q": 0.5}, ["g"]).count() == 4
+
+
+def test_prefix_sums_across_small_batches_and_null_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(1, 5), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, n int, w double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.v: r for r in ordering.prefix_sums(df, ["v"], ["n", "w"], ["g"], previous="v").collect()}
+        whole = {r.v: r.cum_n for r in ordering.prefix_sums(df.select("v", "n"), ["v"], ["n"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    running, last, everything = {}, {}, 0
+    for g, v, n, w in rows:
+        running[g] = (running.get(g, (0, 0.0))[0] + n, running.get(g, (0, 0.0))[1] + w)
+        everything += n
+        assert got[v].cum_n == running[g][0] and got[v].cum_w == pytest.approx(running[g][1])
+        assert got[v].prev_v == last.get(g) and whole[v] == everything
+        last[g] = v
