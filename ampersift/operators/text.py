@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampersift.functions.columns import as_col, quoted, ratio
+from ampersift.functions.columns import as_col, quoted
 from ampersift.operators.ordering import row_numbers
 from ampersift.operators.upserts import first_n
 from ampersift.session import freeze

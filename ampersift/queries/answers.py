@@ -153,6 +153,26 @@ def retrieval_metrics(t: Tables):
     return rounded(made, "avg_score", "min_score", "max_score")
 
 
+@query(
+    "retrieval_log",
+    f"""
+    SELECT user_id AS query_id, event_type = 'view' AS first_run, {R('avg(1 / (1 + value))')} AS avg_score, {R('min(1 / (1 + value))')} AS min_score,
+      {R('max(1 / (1 + value))')} AS max_score, count(*) AS num_results FROM events GROUP BY 1, 2
+    """,
+)
+def retrieval_log(t: Tables):
+    """Metrics of two runs appended to one CSV log and read back."""
+    path = scratch_path(t.spark, "retrieval-log")
+    scored = t.events.select("user_id", "event_type", (1 / (1 + F.col("value"))).alias("score"))
+    figures = ("avg_score", "min_score", "max_score")
+    for first in (True, False):
+        hits = scored.filter((F.col("event_type") == "view") == first)
+        made = rounded(text.retrieval_metrics(hits, "user_id"), *figures).withColumn("first_run", F.lit(first))
+        tables.append_csv_rows(made, path)
+    schema = "user_id long, avg_score double, min_score double, max_score double, num_results long, first_run boolean"
+    return t.spark.read.schema(schema).option("header", True).csv(path).withColumnRenamed("user_id", "query_id")
+
+
 @query(
     "source_rows",
     f"""

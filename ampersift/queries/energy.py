@@ -12,7 +12,7 @@ from ampersift.operators import joins, rollups, sequences, stats, upserts
 from ampersift.plans import energy as plans
 from ampersift.queries import registry
 from ampersift.queries.registry import HOURLY, Tables, query
-from ampersift.session import scratch_path
+from ampersift.session import freeze, scratch_path
 from ampersift.sources import feeds, tables
 
 # Averages of two-decimal values end on a 5 too often for six digits.
@@ -729,7 +729,8 @@ def collect_day(t: Tables):
     wide = feeds.pivot_mix(hourly_mix(t), ts="ts", fuels=MIX_KINDS, name="mix_{}")
     now = wide.agg(F.max("ts")).scalar()
     mix_row = wide.filter(F.col("ts") == now).drop("ts")
-    merged = plans.merge_sources(weather, air, carbon, mix_row, prices, "price", "ts")
+    # landed once, read by both runs
+    merged = freeze(plans.merge_sources(weather, air, carbon, mix_row, prices, "price", "ts"))
     last = t.events.agg(F.to_date(F.max("ts"))).scalar()
     first_day = plans.collect_day(None, merged, last, "ts")
     stored = plans.collect_day(first_day, merged, F.date_add(last, 1), "ts")
@@ -813,7 +814,7 @@ def _z(column: str) -> str:
 )
 def feature_build(t: Tables):
     """Two incremental runs; each batch is standardised by itself."""
-    raw = energy_table(t)
+    raw = freeze(energy_table(t))
     cut = raw.agg(F.date_sub(F.to_date(F.max("datetime")), 5)).scalar()
     stored = plans.update_features(raw.filter(F.to_date("datetime") < cut), None)
     done = plans.update_features(raw, stored)
@@ -883,11 +884,12 @@ def contract_features(t: Tables):
 )
 def update_selected(t: Tables):
     """Stored rows up to a cut, then everything later than the stored maximum."""
-    full = plans.contract_features(energy_table(t)).withColumn("carbon", F.col("hour").cast("double"))
+    raw = freeze(energy_table(t))
+    full = plans.contract_features(raw)
     cut = full.agg(F.date_sub(F.to_date(F.max("datetime")), 5)).scalar()
     stored = fe.select_features(full.filter(F.to_date("datetime") < cut))
     done = plans.update_selected(full, stored)
-    base = energy_table(t).select("datetime", F.col(fe.CARBON).alias("carbon"))
+    base = raw.select("datetime", F.col(fe.CARBON).alias("carbon"))
     return done.join(base, "datetime").select("datetime", r(f"`{fe.PRICE}`").alias("price"), r("carbon").alias("carbon"))
 
 

@@ -65,6 +65,16 @@ def read_latest(spark: SparkSession, target: str, keys: Sequence[str], order: Se
     return keep_last(spark.read.parquet(target), keys, ["batch", *order]).drop("batch")
 
 
+def compact(
+    spark: SparkSession, target: str, fresh: str, keys: Sequence[str], order: Sequence[str] = ()
+) -> None:
+    """Rewrite a target that has gathered many batches as one folder of newest rows.
+
+    The result goes to a new path, so readers of the old one are not disturbed.
+    """
+    read_latest(spark, target, keys, order).write.mode("overwrite").parquet(f"{fresh}/batch=-1")
+
+
 def upsert_stream(
     stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]
 ) -> None:

@@ -25,6 +25,9 @@ def test_upsert_over_batches_equals_one_pass(spark, tmp_path):
     assert stored.select("batch").distinct().count() == 4
     got = keep_last(stored.drop("batch", "_seen"), ["k"], ["ts", "v"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, keep_last(df, ["k"], ["ts", "v"]).collect()))
+    jobs.compact(spark, f"{tmp_path}/out", f"{tmp_path}/fresh", ["k"], ["ts", "v"])
+    again = jobs.read_latest(spark, f"{tmp_path}/fresh", ["k"], ["ts", "v"])
+    assert again.count() == 7 and spark.read.parquet(f"{tmp_path}/fresh").count() == 7
 
 
 def test_windowed_counts_equal_batch(spark, tmp_path):
