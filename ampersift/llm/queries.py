@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm.common import table
+from ampersift.llm import language, packing
+from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,29 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = dc.judged(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+# The vocabulary that the packing contract names; a parameter of the operator.
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows that language ID may learn from."""
+    return table(spark, folder, "documents").where(text_crc() % 5 != 0).select("text", "lang")
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = language.identify(docs, language_rows(spark, folder))
+    return found.select("doc_id", (text_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_packing")
+def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary_path())
