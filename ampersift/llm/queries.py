@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, packing
+from ampersift.llm import language, neardup, packing, quality
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def remainder_is(n: int):
+    """Whether crc32(doc_id as text) mod 5 is ``n``; false for a null id."""
+    return F.coalesce(text_crc() % 5 == n, F.lit(False))
+
+
 # The vocabulary that the packing contract names; a parameter of the operator.
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -77,10 +82,61 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = language.identify(docs, language_rows(spark, folder))
-    return found.select("doc_id", (text_crc() % 5 == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", remainder_is(0).alias("held_out"), "lang_pred", "score")
 
 
 @query("op7_packing")
 def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary_path())
+
+
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(3, len(w))], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT doc_id, b FROM reached JOIN links ON r = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+@query("op1_minhash_near_dedup", OP1_SQL)
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op3_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base figures and verdict of every document; the field learns from the
+    labelled documents outside the held-out fifth."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    field = quality.fit(docs.join(labels, "doc_id").where(text_crc() % 5 != 0))
+    return quality.judge(docs, field).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_lines",
+        "n_content_lines",
+        "content_share",
+    )
