@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,19 +223,14 @@ class ChainField:
         return np.array(labels[::-1])
 
 
-def fit(labelled: DataFrame) -> ChainField:
-    """A field fitted on the bounded sample of ``labelled`` (doc_id, text, quality)."""
-    ready(labelled.sparkSession)
-    rows = labelled.where("quality IS NOT NULL AND text IS NOT NULL").select("doc_id", plain("quality").cast("int").alias("quality"), "text")
-    first = Window.partitionBy("quality").orderBy("_key", "doc_id")
-    chosen = (
-        rows.select("doc_id", "quality", F.xxhash64("doc_id").alias("_key"))
-        .withColumn("_place", F.row_number().over(first))
-        .where(F.col("_place") <= SAMPLE_DOCS)
-        .select("doc_id", "quality")
-        .distinct()
-    )
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "quality"])
+def fit(docs: DataFrame, labels: DataFrame) -> ChainField:
+    """A field fitted on the bounded sample of ``labels`` (doc_id, quality) and
+    the texts of ``docs``. The sample is chosen from the labels, so no text moves."""
+    ready(docs.sparkSession)
+    rows = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", plain("quality").cast("int").alias("quality"))
+    chosen = rows.distinct().orderBy(F.xxhash64("doc_id"))
+    chosen = chosen.where("quality = 0").limit(SAMPLE_DOCS).union(chosen.where("quality = 1").limit(SAMPLE_DOCS))
+    sample = docs.where(plain("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         for batch in batches:

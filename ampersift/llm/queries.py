@@ -126,7 +126,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     labelled documents outside the held-out fifth."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    field = quality.fit(docs.join(labels, "doc_id").where(text_crc() % 5 != 0))
+    field = quality.fit(docs, labels.where(text_crc() % 5 != 0))
     return quality.judge(docs, field).select(
         "doc_id",
         "n_words",
