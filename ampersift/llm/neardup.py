@@ -7,10 +7,10 @@ precisely where similarity is high. Texts that share a band are candidates, the
 sketch sorts out unlikely pairs, and what remains is confirmed on the full sets.
 
 Equal sets are one class, represented by their smallest id. In a band's bucket
-every class is first held against the bucket's smallest; links make components.
-Only classes that are still in another component than the bucket's smallest are
-held against the whole bucket afterwards, in blocks, so a large group of copies
-costs its size and no pair between components goes untested.
+every class is first held against the middle one, which shares most bands with others;
+links make components. Only classes that are still in another component than the
+middle one are held against the whole bucket afterwards, in blocks, so a large
+group of copies costs its size and no pair between components goes untested.
 
 Sets are compared through 64-bit hashes of the shingles.
 
@@ -37,8 +37,8 @@ BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 # Pairs whose estimate is this far below the bound are left out: over six
-# standard deviations of the number of differing samples.
-SLACK = 0.25
+# standard deviations of the share of differing samples.
+SLACK = 0.19
 # Classes held against each other at once.
 BLOCK = 512
 _WORDS_HELD = 400_000
@@ -208,17 +208,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def outside_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components and close sketches, that the
-    bucket's smallest class does not cover; ``members``: key, id, component.
+    """Pairs of one bucket, of different components and close sketches;
+    ``members``: key, id, middle, component.
 
-    Outsiders (not in the component of the smallest) meet every member, both in
-    blocks of at most about ``BLOCK`` classes.
+    Outsiders (not in the component of the middle class) meet every member, both
+    in blocks of at most about ``BLOCK`` classes.
     """
-    low = F.min(F.struct("id", "component"))
+    home = F.max(F.when(F.col("id") == F.col("middle"), F.col("component")))
     sizes = members.groupBy("key").agg(
-        low.alias("low"), F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
+        home.alias("home"), F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
     )
-    mixed = members.join(sizes.where("c0 <> c1").select("key", "n", F.col("low.component").alias("home")), "key")
+    mixed = members.join(sizes.where("c0 <> c1").select("key", "n", "home"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (
         mixed.join(sketches.select("id", "sketch"), "id")
@@ -278,9 +278,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "class-signatures",
     )
     banded = reps.select("id", F.explode("bands").alias("key"))
-    lows = banded.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = store(banded.join(lows, "key"), "buckets")
-    pairs = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = store(banded.join(sizes, "key"), "buckets")
+    # of a group's classes, the one in the middle shares most bands with the others
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = shared.select("key", "id").join(degree, "id")
+    middles = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("top"))
+    members = store(
+        shared.select("key", "id").join(middles.select("key", (-F.col("top.col2")).alias("middle")), "key"), "middles"
+    )
+    pairs = members.where("id <> middle").select(
+        F.greatest("id", "middle").alias("a"), F.least("id", "middle").alias("b")
+    ).distinct()
     sketches = reps.select("id", "sketch", sketch_words().alias("words"))
     tried = store(close_sketches(pairs, sketches, percent), "pairs")
     wanted = members.select("id").distinct()
@@ -290,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = store(alike(tried, held, width, percent), "links")
     found = components(linked)
 
-    grouped = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    grouped = members.join(found, "id", "left").select("key", "id", "middle", F.coalesce("component", "id").alias("component"))
     more = outside_pairs(grouped, sketches, percent).join(tried, ["a", "b"], "left_anti")
     added = store(alike(more, held, width, percent), "links")
     if not added.isEmpty():
