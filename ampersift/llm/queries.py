@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, neardup, packing, quality
+from ampersift.llm import language, neardup, packing, pii, quality, scoring, secrets
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,33 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_content_lines",
         "content_share",
     )
+
+
+@query("op4_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op9_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find_personal(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op10_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Model and unigram score of every document, learned from four fifths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", (~remainder_is(1)).alias("train"))
+    return scoring.score(docs).select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
