@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, neardup, packing, pii, quality, scoring, secrets
+from ampersift.llm import language, neardup, packing, pii, quality, repeats, scoring, secrets, toolcalls
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,109 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         "bits_per_byte",
     )
+
+
+OP8_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, len(h) // 2 AS n FROM bytes),
+starts AS (
+  SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM sized WHERE n >= 200)),
+often AS (SELECT s FROM starts GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM starts JOIN often USING (s)),
+marked AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 200 AS b FROM marked GROUP BY 1, 2),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, b FROM spans),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x)
+                 || any_value(substr(h, CAST(2 * e + 1 AS BIGINT))) AS rest
+  FROM (SELECT gaps.*, h, max(b) OVER (PARTITION BY doc_id) AS e FROM gaps JOIN sized USING (doc_id)) GROUP BY 1),
+total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM sized LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_suffix_array_dedup", OP8_SQL)
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document inside 200-byte strings that occur elsewhere, and the digest of the rest."""
+    found = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# Tool-call data derived from the conversations: every user turn is a call of one
+# of three tools, the assistant turn behind it the result. A call depends on the
+# user turn before it; in some conversations every other call depends on the one
+# after it, so that the order of turns is none.
+TOOLS = (
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", True),
+    ("lookup", "query", "string", True),
+    ("lookup", "exact", "boolean", False),
+)
+
+
+def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) of a conversations table."""
+    name = lambda turn: F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), turn)
+    tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("browse")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+    text = toolcalls.quoted(F.coalesce("text", F.lit("")))
+    arguments = F.concat(
+        F.lit('{"query": '),
+        text,
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit(', "limit": '), F.col("turn") + 1)).otherwise(F.lit(', "exact": true')),
+        F.lit("}"),
+    )
+    backwards, even = F.col("conv_id") % 7 == 3, F.floor(F.col("turn") / 2) % 2 == 0
+    depends = F.when(backwards & even, F.array(name(F.col("turn") + 2))).when(
+        ~backwards & (F.col("turn") >= 2), F.array(name(F.col("turn") - 2))
+    )
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    calls = rows.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        name(F.col("turn")).alias("call_id"),
+        tool.alias("tool"),
+        arguments.alias("arguments"),
+        F.coalesce(depends, F.array().cast("array<string>")).alias("depends"),
+    )
+    results = rows.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+OP6_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id,
+         ['search', 'lookup', 'browse'][(conv_id + turn) % 3 + 1] AS tool, coalesce(text, '') AS q, turn % 4 = 0 AS has_limit,
+         CASE WHEN conv_id % 7 = 3 THEN CASE WHEN (turn // 2) % 2 = 0 THEN turn + 2 END
+              WHEN turn >= 2 THEN turn - 2 END AS dep
+  FROM conversations WHERE role = 'user'),
+linked AS (
+  SELECT c.*, d.turn AS found, r.turn AS answered, r.text AS content
+  FROM calls c LEFT JOIN calls d ON d.conv_id = c.conv_id AND d.turn = c.dep
+  LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'),
+judged AS (
+  SELECT *, CASE WHEN found > turn THEN 1 ELSE 0 END AS level,
+         CASE WHEN tool = 'browse' THEN 'unknown_tool'
+              WHEN has_limit <> (tool = 'search') THEN 'bad_arguments'
+              WHEN dep IS NOT NULL AND found IS NULL THEN 'missing_dependency'
+              WHEN answered IS NULL THEN 'no_result' ELSE 'ok' END AS status
+  FROM linked)
+SELECT conv_id, call_id, turn, tool, level, status,
+       '{"after":[' || coalesce('"call-' || conv_id || '-' || dep || '"', '') || '],"arguments":{'
+       || CASE WHEN has_limit THEN '"limit":' || (turn + 1) ELSE '"exact":true' END || ',"query":' || to_json(q)
+       || '},"id":"' || call_id || '","level":' || level || ',"name":"' || tool || '","result":'
+       || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json
+FROM judged
+"""
+
+
+@query("op6_tool_call_linking", OP6_SQL)
+def tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls derived from all conversations, linked, ordered, checked and serialised."""
+    calls, results = derived_calls(table(spark, folder, "conversations"))
+    schemas = spark.createDataFrame(TOOLS, "tool string, name string, kind string, required boolean")
+    return toolcalls.link_calls(calls, results, schemas)
