@@ -3,8 +3,9 @@
 Each text is the set of its distinct word shingles. MinHash samples of the set
 are grouped into bands, and all samples are folded into a parity bitmap, the odd
 sketch: the bits set in the XOR of two sketches estimate how many samples differ,
-precisely where similarity is high. Texts that share a band are candidates, the
-sketch sorts out unlikely pairs, and what remains is confirmed on the full sets.
+precisely where similarity is high. A second one, of the whole set, bounds the
+shingles that two sets do not share. Texts that share a band are candidates, the
+sketches sort out unlikely pairs, and what remains is confirmed on the full sets.
 
 Equal sets are one class, represented by their smallest id. In a band's bucket
 every class is first held against the middle one, which shares most bands with others;
@@ -39,6 +40,9 @@ SKETCH_BITS = 1024
 # Pairs whose estimate is this far below the bound are left out: over six
 # standard deviations of the share of differing samples.
 SLACK = 0.19
+# Bits of the odd sketch of a whole set. Its XOR count never exceeds the number of
+# shingles in one set only, so a pair with more set bits than its sizes allow is no link.
+SET_BITS = 2048
 # Classes held against each other at once.
 BLOCK = 512
 _WORDS_HELD = 400_000
@@ -49,6 +53,7 @@ SIGNATURE = T.StructType(
         T.StructField("set_id", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType(), False)),
         T.StructField("sketch", T.BinaryType()),
+        T.StructField("parity", T.BinaryType()),
     ]
 )
 
@@ -105,10 +110,19 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def odd_sketch(found: np.ndarray) -> bytes:
     """Parity bitmap of the (number, sample) pairs."""
     places = mix64(found.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return parities(places, SKETCH_BITS)
+
+
+def parities(places: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def most_apart(percent: int, total):
+    """Most shingles in one set only, of a linked pair with ``total`` shingles in both."""
+    return total * (100 - percent) // (100 + percent)
+
+
 def most_bits(percent: int) -> int:
     """Largest XOR population count of sketches of sets that may be similar enough."""
     toggles = 2 * SAMPLES * (1 - percent / 100 + SLACK)
@@ -129,10 +143,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     xxhash.xxh128_digest(own.tobytes()) if len(own) else None,
                     band_keys(found).tolist() if len(own) else None,
                     odd_sketch(found) if len(own) else None,
+                    parities(own & np.uint64(SET_BITS - 1), SET_BITS) if len(own) else None,
                 )
                 for name, value in zip(SIGNATURE.names, row, strict=True):
                     out[name].append(value)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return {n: pa.array(out[n], k) for n, k in zip(SIGNATURE.names, kinds, strict=True)}
 
         return step
@@ -221,12 +236,12 @@ def outside_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> Data
     mixed = members.join(sizes.where("c0 <> c1").select("key", "n", "home"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (
-        mixed.join(sketches.select("id", "sketch"), "id")
+        mixed.join(sketches.select("id", "sketch", "parity", "n_shingles"), "id")
         .withColumn("outside", F.col("component") != F.col("home"))
         .withColumn("own", F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int"))
         .withColumn("each", F.sequence(F.lit(0), blocks - 1))
     )
-    entry = F.struct("id", "component", "sketch").alias("entry")
+    entry = F.struct("id", "component", "sketch", "parity", "n_shingles").alias("entry")
     # a group is the outsiders of one block and the members of another
     first = placed.where("outside").select("key", F.col("own").alias("i"), F.explode("each").alias("j"), F.lit(True).alias("first"), entry)
     among = placed.where("outside").select("key", F.col("own").alias("i")).distinct()
@@ -248,10 +263,15 @@ def outside_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> Data
             for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
                 ids = [np.array([e["id"] for e in x], np.int64) for x in (one, two)]
                 comps = [np.array([e["component"] for e in x], np.int64) for x in (one, two)]
-                maps = [np.frombuffer(b"".join(e["sketch"] for e in x), np.uint64).reshape(len(x), -1) for x in (one, two)]
+                sizes = [np.array([e["n_shingles"] for e in x], np.int64) for x in (one, two)]
+                maps, sets = (
+                    [np.frombuffer(b"".join(e[name] for e in x), np.uint64).reshape(len(x), -1) for x in (one, two)]
+                    for name in ("sketch", "parity")
+                )
                 for k in range(len(ids[0])):
                     bits = np.bitwise_count(maps[1] ^ maps[0][k]).sum(axis=1)
-                    hit = (bits <= most) & (comps[1] != comps[0][k])
+                    apart = np.bitwise_count(sets[1] ^ sets[0][k]).sum(axis=1)
+                    hit = (bits <= most) & (apart <= most_apart(percent, sizes[1] + sizes[0][k])) & (comps[1] != comps[0][k])
                     other = ids[1][hit]
                     a += np.maximum(other, ids[0][k]).tolist()
                     b += np.minimum(other, ids[0][k]).tolist()
@@ -273,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = store(sets.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes")
     reps = store(
         sets.join(classes.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), "bands", "sketch")
+        .select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch", "parity")
         .dropDuplicates(["id"]),
         "class-signatures",
     )
@@ -290,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = members.where("id <> middle").select(
         F.greatest("id", "middle").alias("a"), F.least("id", "middle").alias("b")
     ).distinct()
-    sketches = reps.select("id", "sketch", sketch_words().alias("words"))
+    sketches = reps.select("id", "n_shingles", "sketch", "parity", sketch_words().alias("words"))
     tried = store(close_sketches(pairs, sketches, percent), "pairs")
     wanted = members.select("id").distinct()
     held = store(
