@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -49,6 +50,16 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files that no frame refers to any more.
+
+    Spark removes them when their frames are collected as garbage, which a driver
+    with little work of its own may not do for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 Step = Callable[[pa.RecordBatch], dict]
 
 

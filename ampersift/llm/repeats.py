@@ -11,10 +11,11 @@ only equality of 200-byte prefixes counts, so the same steps end early:
 2. Names. Samples are named by their core. A string can repeat only if the core
    of its sample does; samples with a unique name are settled.
 3. Recursion on longer names. A sample with its whole reach (all 200-byte strings
-   whose sample it is) is one name; where that repeats, all its strings do.
-4. Remaining suffixes. For what is left, where cores repeat but reaches differ,
-   the strings themselves are named, once per distinct reach, and equal
-   neighbours in that order are repeats.
+   whose sample it is) is one name; where that repeats, all its strings do. Where
+   cores repeat but reaches differ, one sample of each reach is cut into blocks
+   of ``STEP`` starts, and blocks are named and settled in the same way.
+4. Remaining suffixes. The strings of the blocks that are left are named one by
+   one, and equal names are repeats.
 
 Names are 64-bit hashes, compared within equal cores. Counts are combined before
 every shuffle, and no group is gathered in one task. Two fixed-size bitmaps keep
@@ -35,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampersift.llm.common import mix64, odd_numbers, plain, ready, store
+from ampersift.llm.common import mix64, odd_numbers, plain, ready, release, store
 from ampersift.llm.decontaminate import united
 
 LENGTH = 200
 WINDOW = 128
 CORE = LENGTH - WINDOW + 1
+# Starts of a block, and the bytes all its strings share.
+STEP = 16
+INNER = LENGTH - STEP + 1
 # Texts are read in segments of so many bytes.
 SEGMENT = 1 << 20
 # Bits of the fixed-size bitmaps.
@@ -161,26 +165,71 @@ def anchors(texts: DataFrame, cores: DataFrame) -> DataFrame:
     return texts.select("row", "raw").mapInArrow(run, ANCHORS)
 
 
-def named_strings(texts: DataFrame) -> DataFrame:
-    """(name, row, at): every 200-byte string of the listed ranges, named by core and content."""
+def listed_parts(texts: DataFrame, cut, schema: str) -> DataFrame:
+    """Rows that ``cut(core, row, first, data)`` makes of every listed range (todo)
+    and the bytes its strings take."""
 
     def run(batches):
         for batch in batches:
+            parts = []
             columns = (batch.column(c).to_pylist() for c in ("row", "raw", "todo"))
-            names, rows, places = [], [], []
             for row, raw, todo in zip(*columns, strict=True):
                 for s in todo:
-                    n = s["last"] - s["first"] + 1
-                    data = np.frombuffer(raw, np.uint8, n + LENGTH - 1, s["first"])
-                    (full,) = prefix_hashes(data, (LENGTH,))
-                    names.append(mix64(full + np.uint64(s["core"] & 0xFFFFFFFFFFFFFFFF)))
-                    rows.append(np.full(n, row, np.int64))
-                    places.append(np.arange(s["first"], s["last"] + 1, dtype=np.int32))
-            if names:
-                found = (signed(np.concatenate(names)), np.concatenate(rows), np.concatenate(places))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["name", "row", "at"])
-
-    return texts.select("row", "raw", "todo").mapInArrow(run, "name long, row long, at int")
+                    data = np.frombuffer(raw, np.uint8, s["last"] - s["first"] + LENGTH, s["first"])
+                    parts.append(cut(np.uint64(s["core"] & 0xFFFFFFFFFFFFFFFF), row, s["first"], data))
+            if parts:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    return texts.select("row", "raw", "todo").mapInArrow(run, schema)
+
+
+def blocks(core: np.uint64, row: int, first: int, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A range cut into blocks of ``STEP`` starts, counted back from its sample.
+
+    A block is named (core) by the bytes all its strings share, so none repeats
+    where that does not, and (reach) by all its bytes.
+    """
+    keys, inner = prefix_hashes(data, (CORE, INNER))
+    n = len(data) - LENGTH + 1
+    near = keys[n - 1 : WINDOW]
+    sample = n - 1 + len(near) - 1 - int(near[::-1].argmin())
+    number = np.arange((sample - n + 1) // STEP, sample // STEP + 1)
+    low = np.maximum(sample - number * STEP - STEP + 1, 0)
+    high = np.minimum(sample - number * STEP, n - 1)
+    shared = inner[sample - number * STEP]
+    (full,) = prefix_hashes(data, (LENGTH,))
+    whole = full[low] * _ODD[3] + full[high] * _ODD[4] + (high - low).astype(np.uint64) * _ODD[5]
+    name = mix64(core + shared * _ODD[6] + number.astype(np.uint64) * _ODD[7])
+    place = (np.full(len(low), row, np.int64), (low + first).astype(np.int32), (high + first).astype(np.int32))
+    return signed(name), signed(mix64(whole)), *place
+
+
+def strings(core: np.uint64, row: int, first: int, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Every 200-byte string of a range, named by core and content."""
+    (full,) = prefix_hashes(data, (LENGTH,))
+    at = np.arange(first, first + len(full), dtype=np.int32)
+    return signed(mix64(full + core)), np.full(len(at), row, np.int64), at
+
+
+def settle(found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of samples (core, reach, row, first, last).
+
+    A reach that occurs twice under a core is settled: all its strings repeat.
+    Where reaches of one core differ and one of them is single, one sample of
+    each reach stays open.
+    """
+    kinds = ["core", "reach"]
+    reaches = store(
+        found.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), f"{label}-reaches"
+    )
+    groups = reaches.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    twice = reaches.where("n > 1").select(*kinds)
+    settled = store(found.join(twice, kinds, "left_semi").select("row", "first", "last"), f"{label}-settled")
+    mixed = groups.where("kinds > 1 AND least = 1").select("core")
+    left = store(reaches.join(mixed, "core", "left_semi").select("core", "one.*"), f"{label}-open")
+    release(found.sparkSession)
+    return settled, left
 
 
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,19 +241,8 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(plain("doc_id").alias("doc_id"), raw.alias("raw"))
     texts = texts.withColumn("row", F.xxhash64("doc_id", "raw"))
     found = store(anchors(texts, repeated_cores(texts)), "anchors")
-
-    reaches = store(
-        found.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), "reaches"
-    )
-    groups = reaches.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    # reaches that occur twice are settled for all their samples
-    twice = reaches.where("n > 1").select("core", "reach")
-    settled = found.join(twice, ["core", "reach"], "left_semi").select("row", "first", "last")
-    open_cores = groups.where("kinds > 1 AND least = 1").select("core")
-    open_reaches = store(reaches.join(open_cores, "core", "left_semi").select("core", "n", "one.*"), "open")
-
-    listed = open_reaches.groupBy("row").agg(F.collect_list(F.struct("core", "first", "last")).alias("todo"))
-    rows = settled.select("row").union(open_reaches.select("row")).distinct()
+    settled, left = settle(found, "samples")
+    rows = settled.select("row").union(left.select("row")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select(F.col("row").alias("key"))))
 
     def shrunk(batches):
@@ -226,11 +264,19 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_bytes long, raw binary, sha256 string"
     kept = store(texts.select("row", "doc_id", "raw").mapInArrow(shrunk, schema), "texts")
-    held = kept.where("raw IS NOT NULL").select("row", "raw").dropDuplicates(["row"])
-    strings = store(named_strings(held.join(listed, "row")), "strings")
-    often = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    more = strings.join(often, "name", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
-    return kept, settled.union(more)
+    held = kept.where("raw IS NOT NULL").select("row", "raw")
+    release(docs.sparkSession)
+
+    def parts(ranges: DataFrame, cut, schema: str, label: str) -> DataFrame:
+        todo = ranges.groupBy("row").agg(F.collect_list(F.struct("core", "first", "last")).alias("todo"))
+        # the open sample of repeated rows is one row's: either copy will do
+        return store(listed_parts(held.join(todo, "row").dropDuplicates(["row"]), cut, schema), label)
+
+    also, left = settle(parts(left, blocks, "core long, reach long, row long, first int, last int", "blocks"), "blocks")
+    named = parts(left, strings, "name long, row long, at int", "strings")
+    often = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    single = named.join(often, "name", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
+    return kept, settled.union(also).union(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
