@@ -56,7 +56,8 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """Dense transitions of the suffix automaton of ``text``.
 
     Entry [state * symbols + c] is (next state * symbols) << 1. Where no phrase
-    goes on, it is the state after c alone with the low bit set: a new phrase.
+    goes on, it is the state after c alone with the low bit set: a new phrase. The
+    last state, behind a character that the text lacks, goes on with none.
     """
     move: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
@@ -84,8 +85,8 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = split
         last = state
-    root = np.array([move[0].get(c, 0) for c in range(symbols)], np.int32) * symbols * 2 + 1
-    table = np.tile(root, (len(move), 1))
+    fresh = np.array([move[0].get(c, len(move)) for c in range(symbols)], np.int32) * symbols * 2 + 1
+    table = np.tile(fresh, (len(move) + 1, 1))
     for state, nexts in enumerate(move):
         for c, to in nexts.items():
             table[state, c] = to * symbols * 2
@@ -106,7 +107,8 @@ class Model:
         self.codes = np.array(sorted(ord(ch) for ch in common), np.uint32)
         tables = [automaton(self.encode(text), self.symbols) for _, text in samples]
         starts = np.cumsum([0, *(len(t) for t in tables[:-1])])
-        self.roots = np.array(starts, np.int32)
+        ends = starts + np.array([len(t) - self.symbols for t in tables])
+        self.starts = np.array(ends, np.int32)  # a block starts a phrase
         self.table = np.concatenate([t + np.int32(2 * s) for t, s in zip(tables, starts, strict=True)])
 
     def encode(self, text: str) -> np.ndarray:
@@ -129,8 +131,8 @@ class Model:
         order = np.argsort(-length, kind="stable")  # blocks that end drop off at the tail
         begin, length, owner = begin[order], length[order], owner[order]
         alive = np.searchsorted(-length, -np.arange(BLOCK), "left")
-        total = np.ones((len(order), len(self.langs)), np.int32)
-        state = np.tile(self.roots, (len(order), 1))
+        total = np.zeros((len(order), len(self.langs)), np.int32)
+        state = np.tile(self.starts, (len(order), 1))
         for step in range(int(length[0]) if len(length) else 0):
             n = int(alive[step])
             move = self.table[state[:n] + flat[begin[:n] + step][:, None]]

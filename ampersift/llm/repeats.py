@@ -190,7 +190,7 @@ def blocks(core: np.uint64, row: int, first: int, data: np.ndarray) -> tuple[np.
     A block is named (core) by the bytes all its strings share, so none repeats
     where that does not, and (reach) by all its bytes.
     """
-    keys, inner = prefix_hashes(data, (CORE, INNER))
+    keys, inner, full = prefix_hashes(data, (CORE, INNER, LENGTH))
     n = len(data) - LENGTH + 1
     near = keys[n - 1 : WINDOW]
     sample = n - 1 + len(near) - 1 - int(near[::-1].argmin())
@@ -198,7 +198,6 @@ def blocks(core: np.uint64, row: int, first: int, data: np.ndarray) -> tuple[np.
     low = np.maximum(sample - number * STEP - STEP + 1, 0)
     high = np.minimum(sample - number * STEP, n - 1)
     shared = inner[sample - number * STEP]
-    (full,) = prefix_hashes(data, (LENGTH,))
     whole = full[low] * _ODD[3] + full[high] * _ODD[4] + (high - low).astype(np.uint64) * _ODD[5]
     name = mix64(core + shared * _ODD[6] + number.astype(np.uint64) * _ODD[7])
     place = (np.full(len(low), row, np.int64), (low + first).astype(np.int32), (high + first).astype(np.int32))

@@ -127,11 +127,12 @@ def fit(found: DataFrame, texts: DataFrame) -> list[float]:
     count per pair of symbols comes to the driver.
     """
     every = F.concat(*[F.transform(f"_{k}", lambda s: s["value"]) for k in KINDS])
-    random = _first_strings(found.select(F.explode(every).alias("value")))
+    labelled = found.select(F.explode(every).alias("value"))
+    random = _first_strings(labelled)
     keys = texts.select(F.xxhash64("text").alias("key")).distinct().orderBy("key").limit(SAMPLE_TEXTS)
     chosen = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), "key", "left_semi").select("text").distinct()
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), 0)).alias("value"))
-    ordinary = _first_strings(words.where(~F.col("value").rlike(KINDS["hex"][0])))
+    ordinary = _first_strings(words.where(~F.col("value").rlike(KINDS["hex"][0])).join(labelled.distinct(), "value", "left_anti"))
     counts = [{r["pair"]: r["count"] for r in _steps(x).collect()} for x in (random, ordinary)]
     if not all(counts):
         return []
