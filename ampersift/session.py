@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,13 +49,13 @@ def local_session(cores: int | str = "*", app: str = "ampersift", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the session.
 
-    Only a local master may fall back to a temporary folder; a cluster has to
-    name one in ``spark.checkpoint.dir``.
+    Only a master whose executors are threads of the driver may fall back to a
+    temporary folder; a cluster has to name one in ``spark.checkpoint.dir``.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="ampersift-")
     spark.conf.set("spark.checkpoint.dir", made)
