@@ -32,7 +32,8 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 NAMES = (*KINDS, "markov")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ORDINARY = r"[A-Za-z0-9_]{6,}"
 # The models are fitted on so many distinct strings of each class: found
 # strings, and words of the texts that come first by hash.
@@ -132,7 +133,9 @@ def fit(found: DataFrame, texts: DataFrame) -> list[float]:
     keys = texts.select(F.xxhash64("text").alias("key")).distinct().orderBy("key").limit(SAMPLE_TEXTS)
     chosen = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), "key", "left_semi").select("text").distinct()
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), 0)).alias("value"))
-    ordinary = _first_strings(words.where(~F.col("value").rlike(KINDS["hex"][0])).join(labelled.distinct(), "value", "left_anti"))
+    # tokens long enough to be judged do not teach what is ordinary
+    short = words.where(F.char_length("value") < LEAST)
+    ordinary = _first_strings(short.join(labelled.distinct(), "value", "left_anti"))
     counts = [{r["pair"]: r["count"] for r in _steps(x).collect()} for x in (random, ordinary)]
     if not all(counts):
         return []

@@ -51,7 +51,7 @@ def test_method_adds_random_tokens(docs):
     rng = random.Random(3)
     # enough distinct words and strings that both chains are told apart
     parts = ["ordi", "nary", "iden", "tifi", "confi", "gura", "tion", "docu", "ment", "inter", "natio", "nal", "value"]
-    words = ["".join(rng.choices(parts, k=4)) for _ in range(300)]
+    words = ["".join(rng.choices(parts, k=3)) for _ in range(300)]
     rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(60)]
     rows += [(1000 + i, "password=" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40))) for i in range(400)]
     rows += [(900, "see k3v9x0q2m8z7w1j5u4n6b3c9 here"), (901, "see internationaldocumentation here")]
