@@ -35,6 +35,12 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return quoted(name).isNull()
 
 
+def known(value: str | Column) -> Column:
+    """A number as double, NULL where it is missing."""
+    v = as_col(value).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def at_grain(ts: str | Column, unit: str) -> Column:
     """Start of the enclosing hour, day, ... as a zone-less timestamp."""
     return F.date_trunc(unit, as_col(ts)).cast(T.TimestampNTZType())

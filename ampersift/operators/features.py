@@ -12,6 +12,7 @@ from ampersift.functions.columns import (
     as_col,
     clip_low,
     is_missing,
+    known,
     nan_to_null,
     quoted,
     ratio,
@@ -132,7 +133,7 @@ def log_transforms(
 ) -> DataFrame:
     """``log1p`` twins of those ``columns`` that are present."""
     def filled(name: str) -> Column:
-        return F.coalesce(quoted(name), F.lit(0.0)) if missing_as_zero else quoted(name)
+        return F.coalesce(known(quoted(name)), F.lit(0.0)) if missing_as_zero else known(quoted(name))
 
     return df.withColumns({f"log_{n}": F.log1p(filled(n)) for n in columns if n in df.columns})
 
@@ -154,7 +155,7 @@ def standard_scale(
     source = df if fit_on is None else fit_on
 
     def filled(name: str) -> Column:
-        return F.coalesce(quoted(name).cast("double"), F.lit(0.0))
+        return F.coalesce(known(quoted(name)), F.lit(0.0))
 
     fitted = source.agg(
         F.struct(
@@ -175,21 +176,18 @@ def minmax_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row ``fit`` with the smallest value and range of every column."""
     return df.agg(
         F.struct(
-            *[F.min(quoted(c)).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
-            *[
-                (F.max(quoted(c)) - F.min(quoted(c))).cast("double").alias(f"range{i}")
-                for i, c in enumerate(columns)
-            ],
+            *[F.min(known(quoted(c))).alias(f"lo{i}") for i, c in enumerate(columns)],
+            *[(F.max(known(quoted(c))) - F.min(known(quoted(c)))).alias(f"range{i}") for i, c in enumerate(columns)],
         ).alias("fit")
     )
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], prefix: str = "mm_") -> DataFrame:
-    """Scale to [0, 1]; a constant column becomes 0."""
+    """Scale to [0, 1]; a constant column becomes 0, a missing value stays missing."""
     rows = df.withColumn("_fit", minmax_fit(df, columns).scalar())
     return rows.withColumns(
         {
-            f"{prefix}{c}": scale_by(quoted(c), F.col(f"_fit.lo{i}"), F.col(f"_fit.range{i}"))
+            f"{prefix}{c}": scale_by(known(quoted(c)), F.col(f"_fit.lo{i}"), F.col(f"_fit.range{i}"))
             for i, c in enumerate(columns)
         }
     ).drop("_fit")
@@ -272,14 +270,14 @@ def rolling_features(
     w = _in_series(series, ts).rowsBetween(end - window + 1, end)
     labels = names or {}
 
-    def when_full(c: str, value: Column) -> Column:
-        return F.when(F.count(quoted(c)).over(w) == window, value)
+    def when_full(value: Column, figure: Column) -> Column:
+        return F.when(F.count(value).over(w) == window, figure)
 
     made = {}
     for c in columns:
-        label = labels.get(c, c)
-        made[f"{label}_rolling_{window}h_mean"] = when_full(c, F.avg(quoted(c)).over(w))
-        made[f"{label}_rolling_{window}h_std"] = when_full(c, F.stddev_samp(quoted(c)).over(w))
+        label, value = labels.get(c, c), known(quoted(c))
+        made[f"{label}_rolling_{window}h_mean"] = when_full(value, F.avg(value).over(w))
+        made[f"{label}_rolling_{window}h_std"] = when_full(value, F.stddev_samp(value).over(w))
     return df.withColumns(made)
 
 

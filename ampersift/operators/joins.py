@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampersift.functions.columns import MICROS_PER_SECOND, micros, quoted
+from ampersift.functions.columns import MICROS_PER_SECOND, is_missing, micros, quoted
+
+# Time that one task of a fill covers.
+FILL_DAYS = 32
+_NO_TIME = -(1 << 62)
 
 
 def outer_merge(frames: Sequence[DataFrame], on: Sequence[str] = ("datetime",)) -> DataFrame:
@@ -92,16 +96,41 @@ def fill_forward_back(
 ) -> DataFrame:
     """Fill gaps from the previous known value, then from the next one.
 
-    Rows are one per hour and series, see ``features.lag_features``.
+    Rows are filled within time chunks of ``FILL_DAYS`` days; what a chunk lacks
+    comes from the first and last known values of the other chunks, a row per
+    chunk and series. Rows without a time come before all others.
     """
-    lane = Window.partitionBy(*[quoted(b) for b in by]) if by else Window.partitionBy(F.lit(0))
-    onward, back = lane.orderBy(quoted(ts)), lane.orderBy(quoted(ts).desc())
-    return df.withColumns(
-        {
-            c: F.coalesce(F.last(quoted(c), True).over(onward), F.last(quoted(c), True).over(back))
-            for c in columns
-        }
+    at = F.coalesce(micros(quoted(ts)), F.lit(_NO_TIME))
+    placed = df.withColumn("_chunk", F.floor(at / F.lit(FILL_DAYS * 86_400 * MICROS_PER_SECOND)))
+    values = [F.when(~is_missing(df, c), quoted(c)) for c in columns]
+    groups = [f"_b{i}" for i in range(len(by))]
+
+    ends = []
+    for i, value in enumerate(values):
+        order = F.when(value.isNotNull(), at)
+        ends += [F.max_by(value, order).alias(f"_last{i}"), F.min_by(value, order).alias(f"_first{i}")]
+    chunks = placed.groupBy(*[quoted(b).alias(g) for b, g in zip(by, groups)], F.col("_chunk").alias("_at")).agg(*ends)
+    lane = Window.partitionBy(*groups) if by else Window.partitionBy(F.lit(0))
+    earlier = lane.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    later = lane.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(
+        *groups,
+        "_at",
+        *[F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}") for i in range(len(values))],
+        *[F.last(f"_first{i}", True).over(later).alias(f"_after{i}") for i in range(len(values))],
     )
+    same = F.col("_chunk") == F.col("_at")
+    for b, g in zip(by, groups):
+        same = same & quoted(b).eqNullSafe(F.col(g))
+    inside = Window.partitionBy(*[quoted(b) for b in by], "_chunk")
+    onward, back = inside.orderBy(quoted(ts)), inside.orderBy(quoted(ts).desc())
+    filled = {
+        c: F.coalesce(
+            F.last(value, True).over(onward), F.col(f"_before{i}"), F.last(value, True).over(back), F.col(f"_after{i}")
+        )
+        for i, (c, value) in enumerate(zip(columns, values))
+    }
+    return placed.join(carried, same, "left").withColumns(filled).select(*[quoted(c) for c in df.columns])
 
 
 def fill_from_side(
@@ -128,7 +157,14 @@ def rows_not_in(new: DataFrame, seen: DataFrame, keys: Sequence[str] = ("datetim
     return new.join(seen.select(*[quoted(k) for k in keys]), list(keys), "left_anti")
 
 
-def rows_after(new: DataFrame, seen: DataFrame, ts: str = "datetime") -> DataFrame:
-    """New rows later than the latest timestamp of ``seen`` (all, if it is empty)."""
+def rows_after(new: DataFrame, seen: DataFrame, ts: str = "datetime", by: Sequence[str] = ()) -> DataFrame:
+    """New rows later than the latest timestamp of ``seen`` (all, if it is empty).
+
+    With ``by`` every series has a latest timestamp of its own.
+    """
+    if by:
+        known = seen.groupBy(*[quoted(b) for b in by]).agg(F.max(quoted(ts)).alias("_latest"))
+        late = F.col("_latest").isNull() | (quoted(ts) > F.col("_latest"))
+        return new.join(known, list(by), "left").filter(late).select(*[quoted(c) for c in new.columns])
     latest = seen.agg(F.max(quoted(ts)).alias("m")).scalar()
     return new.filter(latest.isNull() | (quoted(ts) > latest))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampersift.functions.columns import all_of, any_of, micros
+from ampersift.functions.columns import all_of, any_of, is_missing, micros
 from ampersift.session import freeze, small_side
 
 SKETCH_ACCURACY = 1000  # a rank error of at most a thousandth of the group
@@ -252,7 +252,11 @@ def select_ranks(
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one output column per name."""
+    """Exact quantiles with linear interpolation, one output column per name.
+
+    Missing values, NaN included, take no rank.
+    """
+    df = df.withColumn(value, F.when(~is_missing(df, value), F.col(f"`{value}`")))
     wanted = {}
     for name, p in probabilities.items():
         wanted[f"lo_{name}"] = (p, lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1)))

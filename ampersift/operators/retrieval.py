@@ -49,6 +49,13 @@ def _closest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
             yield first + row, spots[best], exact[best]
 
 
+def _measurable(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows whose ``vector`` is complete and as long as the longest one of ``queries``."""
+    length = queries.agg(F.max(F.size("vector"))).scalar()
+    whole = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    return df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0) & (F.size("vector") == length) & whole)
+
+
 def _merge(partial: DataFrame, k: int) -> DataFrame:
     """Ranks 1..k per query from per-task candidates, in two steps, so the last
     step reads a fixed number of rows per query."""
@@ -143,9 +150,13 @@ def knn_topk(
     to ``block_rows`` queries (checked by counting) travel with the tasks and
     the corpus is read once without a shuffle; more queries are cut into blocks
     of about ``pair_rows`` that meet corpus shards of about ``shard_rows``.
+    Vectors that are missing, hold a missing number or differ in length from the
+    longest query vector have no distance: such queries have no hits, such
+    corpus rows are no hit.
     """
     q = queries.select(quoted(query_id).cast("long").alias("query_id"), quoted(query_vector).alias("vector"))
     c = corpus.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(doc_vector).alias("vector"))
+    q, c = _measurable(q, q), _measurable(c, q)
     head = q.limit(block_rows + 1).toPandas()
     if head.empty:
         partial = c.limit(0).selectExpr("doc_id as query_id", "doc_id", "0D as distance", "0 as lane")

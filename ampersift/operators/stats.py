@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampersift.functions.columns import quoted, ratio
+from ampersift.functions.columns import known, quoted, ratio
 from ampersift.functions.pvalues import f_pvalue, normal_pvalue, t_pvalue
 from ampersift.operators.ordering import exact_quantiles, prefix_sums
 from ampersift.operators.upserts import first_n
@@ -217,8 +217,8 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
 def skewness_rank(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bias-corrected skewness per column, largest first."""
     moments_row = df.agg(
-        *[F.count(quoted(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.skewness(quoted(c)).alias(f"g_{i}") for i, c in enumerate(columns)],
+        *[F.count(known(quoted(c))).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.skewness(known(quoted(c))).alias(f"g_{i}") for i, c in enumerate(columns)],
     )
     rows = F.array(
         *[
@@ -244,15 +244,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     """
     edges = df.agg(
         F.struct(
-            *[F.min(quoted(c)).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
-            *[F.max(quoted(c)).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)],
+            *[F.min(known(quoted(c))).alias(f"lo{i}") for i, c in enumerate(columns)],
+            *[F.max(known(quoted(c))).alias(f"hi{i}") for i, c in enumerate(columns)],
         ).alias("e")
     ).scalar()
     items = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column"),
-                quoted(c).cast("double").alias("value"),
+                known(quoted(c)).alias("value"),
                 F.col(f"_e.lo{i}").alias("lo"),
                 F.col(f"_e.hi{i}").alias("hi"),
             )
@@ -280,10 +280,10 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
     MAPE is infinite when a target is zero; ``n_zero_target`` tells why.
     """
-    y, f = quoted(actual).cast("double"), quoted(predicted).cast("double")
+    y, f = known(quoted(actual)), known(quoted(predicted))
     err = y - f
-    known = df.filter(y.isNotNull() & f.isNotNull())
-    stats = known.groupBy(*by).agg(
+    pairs = df.filter(y.isNotNull() & f.isNotNull())
+    stats = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(err * err).alias("mse"),
         F.avg(F.abs(err)).alias("mae"),
@@ -329,8 +329,6 @@ def daily_price_summary(
             F.sum(p).alias("total_price"),
         )
     )
-    from ampersift.operators.upserts import first_n
-
     kept = first_n(daily, days, list(series), ["date"]) if series else daily.orderBy("date").limit(days)
     return kept.select(
         *by,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampersift.functions.columns import quoted
 from ampersift.operators import experiments as ab
 from ampersift.operators import guardrails as gr
 from ampersift.operators.retrieval import knn_topk
@@ -30,14 +31,16 @@ def prepare_prompts(
     experiment: ab.Experiment = ab.LIVE,
     k: int = 3,
     score_threshold: float | None = None,
+    chunk_id: str = "doc_id",
 ) -> DataFrame:
     """Prompts of admitted questions (``query_id``, ``vector``, ``sanitized_input``).
 
-    ``chunks`` holds ``doc_id``, ``vector`` and ``chunk_text``.
+    ``chunks`` holds ``vector``, ``chunk_text`` and ``chunk_id``, a number of
+    its own for every chunk; ``doc_id`` will do where a document is one chunk.
     """
-    hits = knn_topk(admitted, chunks, k, score_threshold)
+    hits = knn_topk(admitted, chunks, k, score_threshold, doc_id=chunk_id).withColumnRenamed("doc_id", "_chunk")
     # k rows per question meet the chunk table on its id
-    texts = hits.join(chunks.select("doc_id", "chunk_text"), "doc_id")
+    texts = hits.join(chunks.select(quoted(chunk_id).cast("long").alias("_chunk"), "chunk_text"), "_chunk")
     template = F.lit(None).cast("string")
     for variant in experiment.variants:
         template = F.when(F.col("variant_id") == variant.id, variant.prompt + "\n\n{input}").otherwise(template)

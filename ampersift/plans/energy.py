@@ -85,17 +85,21 @@ def engineer(df: DataFrame, ts: str = "datetime") -> DataFrame:
 
 
 def update_features(
-    raw: DataFrame, previous: DataFrame | None, ts: str = "datetime", fit_scope: str = "batch"
+    raw: DataFrame,
+    previous: DataFrame | None,
+    ts: str = "datetime",
+    fit_scope: str = "batch",
+    series: Sequence[str] = (),
 ) -> DataFrame:
-    """Feature rows for timestamps not seen before, added to the stored ones.
+    """Feature rows for timestamps (of a series) not seen before, added to the stored ones.
 
     ``fit_scope="batch"`` standardises with the statistics of the new rows,
     ``"global"`` with those of the whole raw table.
     """
-    new = raw if previous is None else rows_not_in(raw, previous, [ts])
+    new = raw if previous is None else rows_not_in(raw, previous, [*series, ts])
     made = engineer(new, ts)
     scaled = fe.standard_scale(made, fe.DAILY_SCALED, engineer(raw, ts) if fit_scope == "global" else None)
-    return scaled if previous is None else append_keep_first(previous, scaled, [ts])
+    return scaled if previous is None else append_keep_first(previous, scaled, [*series, ts])
 
 
 def contract_features(df: DataFrame, series: Sequence[str] = (), ts: str = "datetime") -> DataFrame:
@@ -114,9 +118,12 @@ def contract_features(df: DataFrame, series: Sequence[str] = (), ts: str = "date
     return scaled.select(*[quoted(s) for s in series], *[quoted(c) for c in fe.SELECTED_FEATURES])
 
 
-def update_selected(engineered: DataFrame, selected: DataFrame | None, ts: str = "datetime") -> DataFrame:
-    """Append engineered rows later than the stored ones, in the fixed column order."""
+def update_selected(
+    engineered: DataFrame, selected: DataFrame | None, ts: str = "datetime", series: Sequence[str] = ()
+) -> DataFrame:
+    """Append engineered rows later than the stored ones (of their series), in the fixed column order."""
+    contract = [*series, *fe.SELECTED_FEATURES]
     if selected is None:
-        return fe.select_features(engineered)
-    fresh = fe.select_features(rows_after(engineered, selected, ts))
-    return append_keep_last(selected, fresh, [ts])
+        return fe.select_features(engineered, contract)
+    fresh = fe.select_features(rows_after(engineered, selected, ts, series), contract)
+    return append_keep_last(selected, fresh, [*series, ts])

@@ -767,9 +767,9 @@ ENERGY_NAMES = {
 }
 
 
-def energy_table(t: Tables, series: str = "view"):
-    """One series of the roll-up under the energy table's column names."""
-    base = t.hourly.filter(F.col("series_id") == series).drop("series_id").withColumnsRenamed(ENERGY_NAMES)
+def energy_table(t: Tables):
+    """The roll-up of all series under the energy table's column names."""
+    base = t.hourly.withColumnsRenamed(ENERGY_NAMES)
     w, n, rad = (F.col(f"`{c}`") for c in (fe.WIND, fe.CARBON, fe.RADIATION))
     return base.withColumns(
         {
@@ -786,10 +786,10 @@ def energy_table(t: Tables, series: str = "view"):
 
 
 ENERGY_SQL = """e AS (
-  SELECT ts AS datetime, price, carbon, wind, radiation, temperature, wind / 2 AS solar, carbon * 3 AS gas,
+  SELECT series_id, ts AS datetime, price, carbon, wind, radiation, temperature, wind / 2 AS solar, carbon * 3 AS gas,
          carbon + 1 AS biomass, carbon + 2 AS nuclear, carbon * CAST(1.1 AS DOUBLE) AS forecast, wind / 10 AS speed,
          CASE WHEN carbon > 1 THEN carbon * 10 END AS humidity, radiation / 3 AS no2
-  FROM hourly WHERE series_id = 'view')"""
+  FROM hourly)"""
 
 
 def _z(column: str) -> str:
@@ -807,18 +807,19 @@ def _z(column: str) -> str:
     fresh AS (SELECT e.* FROM e, cut WHERE CAST(datetime AS DATE) >= day),
     done AS (SELECT *, {_z('temperature')} AS st, {_z('humidity')} AS sh, {_z('carbon')} AS sc FROM old
              UNION ALL SELECT *, {_z('temperature')}, {_z('humidity')}, {_z('carbon')} FROM fresh)
-    SELECT datetime, hour(datetime) AS hour, {R('wind + solar')} AS renewable_pct, {R('ln(1 + no2)')} AS log_no2,
+    SELECT series_id, datetime, hour(datetime) AS hour, {R('wind + solar')} AS renewable_pct, {R('ln(1 + no2)')} AS log_no2,
            {R('carbon / (price + 1e-6)')} AS carbon_per_price,
            {R('st')} AS scaled_temperature, {R('sh')} AS scaled_humidity, {R('sc')} AS scaled_carbon FROM done
     """,
 )
 def feature_build(t: Tables):
-    """Two incremental runs; each batch is standardised by itself."""
+    """Two incremental runs over all series; each batch is standardised by itself."""
     raw = freeze(energy_table(t))
     cut = raw.agg(F.date_sub(F.to_date(F.max("datetime")), 5)).scalar()
-    stored = plans.update_features(raw.filter(F.to_date("datetime") < cut), None)
-    done = plans.update_features(raw, stored)
+    stored = plans.update_features(raw.filter(F.to_date("datetime") < cut), None, series=["series_id"])
+    done = plans.update_features(raw, stored, series=["series_id"])
     return done.select(
+        "series_id",
         "datetime",
         "hour",
         r("renewable_pct").alias("renewable_pct"),
@@ -859,17 +860,18 @@ CONTRACT_SQL = {
     "contract_features",
     f"""
     WITH {HOURLY}, {ENERGY_SQL}, v AS (
-      SELECT datetime, price, {", ".join(f"{x} AS v{i}" for i, x in enumerate(CONTRACT_SQL.values()))}
-      FROM e WINDOW o AS (ORDER BY datetime), r AS (ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-    SELECT datetime, hour(datetime) AS hour, CAST(hour(datetime) BETWEEN 17 AND 21 AS INT) AS is_peak_hour,
+      SELECT series_id, datetime, price, {", ".join(f"{x} AS v{i}" for i, x in enumerate(CONTRACT_SQL.values()))}
+      FROM e WINDOW o AS (PARTITION BY series_id ORDER BY datetime),
+                    r AS (PARTITION BY series_id ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
+    SELECT series_id, datetime, hour(datetime) AS hour, CAST(hour(datetime) BETWEEN 17 AND 21 AS INT) AS is_peak_hour,
            {R('sin(2 * pi() * hour(datetime) / 24)')} AS hour_sin, {R('cos(2 * pi() * hour(datetime) / 24)')} AS hour_cos,
            {R('price')} AS price, {", ".join(f'{R(_z(f"v{i}"))} AS "{n}"' for i, n in enumerate(CONTRACT_SQL))}
     FROM v
     """,
 )
 def contract_features(t: Tables):
-    """All columns of the selected-feature contract."""
-    made = plans.contract_features(energy_table(t))
+    """All columns of the selected-feature contract, for all series."""
+    made = plans.contract_features(energy_table(t), ["series_id"])
     plain = made.withColumnsRenamed(
         {c: "price" if c == fe.PRICE else c.replace("%", "pct") for c in made.columns}
     )
@@ -879,18 +881,18 @@ def contract_features(t: Tables):
 @query(
     "update_selected",
     f"""
-    WITH {HOURLY}, {ENERGY_SQL} SELECT datetime, {R('price')} AS price, {R('carbon')} AS carbon FROM e
+    WITH {HOURLY}, {ENERGY_SQL} SELECT series_id, datetime, {R('price')} AS price, {R('carbon')} AS carbon FROM e
     """,
 )
 def update_selected(t: Tables):
-    """Stored rows up to a cut, then everything later than the stored maximum."""
+    """Stored rows up to a cut, then everything later than the stored maximum of the series."""
     raw = freeze(energy_table(t))
-    full = plans.contract_features(raw)
+    full = freeze(plans.contract_features(raw, ["series_id"]))
     cut = full.agg(F.date_sub(F.to_date(F.max("datetime")), 5)).scalar()
-    stored = fe.select_features(full.filter(F.to_date("datetime") < cut))
-    done = plans.update_selected(full, stored)
-    base = raw.select("datetime", F.col(fe.CARBON).alias("carbon"))
-    return done.join(base, "datetime").select("datetime", r(f"`{fe.PRICE}`").alias("price"), r("carbon").alias("carbon"))
+    stored = plans.update_selected(full.filter(F.to_date("datetime") < cut), None, series=["series_id"])
+    done = plans.update_selected(full, stored, series=["series_id"])
+    base = raw.select("series_id", "datetime", F.col(fe.CARBON).alias("carbon"))
+    return done.join(base, ["series_id", "datetime"]).select("series_id", "datetime", r(f"`{fe.PRICE}`").alias("price"), r("carbon").alias("carbon"))
 
 
 @query(

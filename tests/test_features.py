@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampersift.operators import features as fe
+from ampersift.operators import stats
+from ampersift.operators.ordering import exact_quantiles
 from ampersift.plans import energy as plans
 from ampersift.sources.tables import ENERGY_SCHEMA, to_utc
 
@@ -149,3 +151,16 @@ def test_selected_table_appends_later_rows(spark):
 def test_zone_normalisation(spark):
     df = frame(spark, [(dt.datetime(2024, 7, 1, 12),)], "t timestamp_ntz")
     assert df.select(to_utc("t", "Europe/London")).first()[0] == dt.datetime(2024, 7, 1, 11)
+
+
+def test_nan_counts_as_missing(spark):
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), v) for i, v in enumerate([1.0, float("nan"), 3.0, None])]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, v double")
+    scaled = [r.scaled_v for r in fe.standard_scale(df, ["v"]).orderBy("ts").collect()]
+    assert scaled[1] == scaled[3] == pytest.approx(-1 / 1.5**0.5)
+    assert [r.mm_v for r in fe.minmax_scale(df, ["v"]).orderBy("ts").collect()] == [0.0, None, 1.0, None]
+    assert [r.log_v for r in fe.log_transforms(df, ["v"]).orderBy("ts").collect()][1] == 0.0
+    rolled = fe.rolling_features(df, ["v"], 2, ts="ts").orderBy("ts").collect()
+    assert [r.v_rolling_2h_mean for r in rolled] == [None] * 4
+    assert {(r.bin, r.n) for r in stats.histogram(df, ["v"], 2).collect()} == {(0, 1), (1, 1)}
+    assert exact_quantiles(df, "v", {"p50": 0.5}).first().p50 == 2.0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ampersift.operators import joins, upserts
 from ampersift.plans import energy as plans
 
+T0 = dt.datetime(2024, 1, 1)
+
 DAY = dt.datetime(2024, 10, 29)
 
 
@@ -117,3 +119,24 @@ def test_collect_day_keeps_full_hours_of_the_day(spark):
     day = plans.collect_day(None, merged, "2024-10-30").orderBy("datetime").collect()
     assert len(day) == 24 and all(r.datetime.minute == 0 and r.gas == 45.0 for r in day)
     assert day[1].price == 0.02
+
+
+def test_fill_reaches_over_chunks(spark):
+    day = [0, 1, 40, 41, 200, 201, 400]
+    value = [None, 1.0, None, float("nan"), None, 7.0, None]
+    rows = [(s, T0 + dt.timedelta(days=d), v) for s in ("a", None) for d, v in zip(day, value)]
+    df = spark.createDataFrame([*rows, ("b", T0, None)], "s string, ts timestamp_ntz, v double")
+    out = joins.fill_forward_back(df, ["v"], "ts", ["s"]).orderBy("ts").collect()
+    wanted = [1.0, 1.0, 1.0, 1.0, 1.0, 7.0, 7.0]
+    assert [r.v for r in out if r.s == "a"] == wanted and [r.v for r in out if r.s is None] == wanted
+    assert [r.v for r in out if r.s == "b"] == [None]
+    alone = joins.fill_forward_back(df.filter("s = 'a'"), ["v"], "ts").orderBy("ts").collect()
+    assert [r.v for r in alone] == wanted
+
+
+def test_rows_after_the_latest_of_their_series(spark):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    seen = spark.createDataFrame([("a", at(5)), ("b", at(1))], "s string, datetime timestamp_ntz")
+    new = spark.createDataFrame([("a", at(5)), ("a", at(6)), ("b", at(2)), ("c", at(0))], "s string, datetime timestamp_ntz")
+    got = {(r.s, r.datetime) for r in joins.rows_after(new, seen, by=["s"]).collect()}
+    assert got == {("a", at(6)), ("b", at(2)), ("c", at(0))}

@@ -53,5 +53,6 @@ def test_walk_forward_reports_failed_folds(table):
     rows = models.walk_forward_eval(placed, ["price_lag_23h", "noise"], "price").orderBy("fold").collect()
     assert [r.fold for r in rows] == [0, 1] and all(r.error is None and r.test_rows == 168 for r in rows)
     empty = placed.withColumn("noise", F.when(F.col("block") > 0, F.col("noise")))
-    broken = models.walk_forward_eval(empty, ["price_lag_23h", "noise"], "price", max_fold=0).collect()
-    assert broken[0].error
+    broken = models.walk_forward_eval(empty, ["price_lag_23h", "noise"], "price").orderBy("fold").collect()
+    assert [r.fold for r in broken] == [0, 1]
+    assert broken[0].error and broken[0].rmse is None and broken[1].error is None

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ampersift.functions.columns import cosine
 from ampersift.operators import retrieval as rt
 from ampersift.operators import text
+from ampersift.plans import answering
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,25 @@ def test_retrieval_metrics_of_no_hits(spark):
     rows = {r.query_id: r for r in text.retrieval_metrics(hits).collect()}
     assert rows[1].avg_score == pytest.approx(0.6) and rows[1].num_results == 2
     assert (rows[2].avg_score, rows[2].num_results) == (0.0, 0)
+
+
+def test_vectors_without_a_distance_are_no_hits(spark):
+    nan = float("nan")
+    rows = [(1, [0.0, 0.0]), (2, None), (3, [0.0]), (4, [nan, 0.0]), (5, []), (6, [None, 1.0]), (7, [3.0, 4.0])]
+    corpus = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0])], "query_id long, vector array<double>")
+    for block in (2048, 0):
+        got = rt.knn_topk(asked, corpus, 5, block_rows=block, pair_rows=1, shard_rows=2).orderBy("rank").collect()
+        assert [(r.query_id, r.doc_id, r.distance) for r in got] == [(1, 1, 0.0), (1, 7, 25.0)]
+
+
+def test_prompts_of_documents_with_several_chunks(spark):
+    chunks = spark.createDataFrame(
+        [(10, 1, [0.0, 0.0], "a"), (11, 1, [1.0, 0.0], "b"), (12, 2, [9.0, 9.0], "c")],
+        "chunk_id long, doc_id long, vector array<double>, chunk_text string",
+    )
+    asked = spark.createDataFrame(
+        [(1, [0.0, 0.0], "why", "control")], "query_id long, vector array<double>, sanitized_input string, variant_id string"
+    )
+    row = answering.prepare_prompts(asked, chunks, k=2, chunk_id="chunk_id").first()
+    assert row.context == "a\n\nb"
