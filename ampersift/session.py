@@ -52,14 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a master whose executors are threads of the driver may fall back to a
     temporary folder; a cluster has to name one in ``spark.checkpoint.dir``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    # a running session cannot change the setting, its context keeps the folder
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="ampersift-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ampersift-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
