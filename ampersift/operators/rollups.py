@@ -12,6 +12,9 @@ from ampersift.functions.columns import MICROS_PER_SECOND, from_micros, micros,
 # Upper bounds of the toxicity buckets.
 TOXICITY_BUCKETS = (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
 
+# Evaluations in a chunk of time in which spells are found (a day of 30-second steps).
+CHUNK_STEPS = 2880
+
 
 def counter_by_label(df: DataFrame, labels: Sequence[str], amount: str | None = None) -> DataFrame:
     """Events, or the sum of ``amount``, per label."""
@@ -90,18 +93,28 @@ def avg_window(
 
 
 def histogram_quantile(
-    df: DataFrame, value: str, q: float, buckets: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    q: float,
+    buckets: Sequence[float],
+    by: Sequence[str] = (),
+    ts: str | None = None,
+    range_seconds: int = 300,
+    step_seconds: int = 300,
 ) -> DataFrame:
     """Quantile estimated from cumulative bucket counts by linear interpolation.
 
-    A quantile beyond the last bound yields that bound.
+    With ``ts`` there is one estimate per sliding window (``window_start``), else
+    one over all rows. A quantile beyond the last bound yields that bound.
     """
     x = quoted(value)
     bounds = sorted(buckets)
-    counted = df.filter(x.isNotNull()).groupBy(*[quoted(b) for b in by]).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(x <= b).alias(f"_le{i}") for i, b in enumerate(bounds)],
-    )
+    known = df.filter(x.isNotNull() & ~F.isnan(x))
+    counts = {"n": F.lit(1), **{f"_le{i}": (x <= b).cast("long") for i, b in enumerate(bounds)}}
+    if ts:
+        counted = sliding(known, ts, by, counts, range_seconds, step_seconds)
+    else:
+        counted = known.groupBy(*[quoted(b) for b in by]).agg(*[F.sum(c).alias(n) for n, c in counts.items()])
     rank = F.lit(float(q)) * F.col("n")
     estimate = None
     for i, upper in enumerate(bounds):
@@ -115,6 +128,53 @@ def histogram_quantile(
     )
 
 
+def _islands(points: DataFrame, by: Sequence[str], step: int) -> DataFrame:
+    """Runs of evaluations (``_at``, ``_peak``) one step apart: ``_from``, ``_to``,
+    ``n_evals``, ``_peak``.
+
+    Runs are found within chunks of time; only those that touch the edge of their
+    chunk, two per chunk at most, are ordered once more to be joined.
+    """
+    by_cols = [quoted(b) for b in by]
+    width = step * CHUNK_STEPS
+    chunk = F.floor(F.col("_at") / F.lit(width)).alias("_chunk")
+    inside = Window.partitionBy(*by_cols, "_chunk").orderBy("_at")
+    figures = (F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("n_evals").alias("n_evals"), F.max("_peak").alias("_peak"))
+    run = F.col("_at") - F.row_number().over(inside) * F.lit(step).cast("long")
+    runs = (
+        points.select(*by_cols, "_at", "_peak", chunk)
+        .withColumn("_run", run)
+        .groupBy(*by_cols, "_chunk", "_run")
+        .agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("n_evals"), F.max("_peak").alias("_peak"))
+    )
+    start = F.col("_chunk") * F.lit(width)
+    at_edge = (F.col("_from") == start) | (F.col("_to") == start + F.lit(width - step))
+    columns = [*by_cols, "_from", "_to", "n_evals", "_peak"]
+    lane = Window.partitionBy(*(by_cols or [F.lit(0)])).orderBy("_from")
+    apart = F.coalesce(F.col("_from") - F.lag("_to").over(lane) != step, F.lit(True)).cast("int")
+    edges = runs.filter(at_edge).select(*columns).withColumn("_new", apart)
+    joined = edges.withColumn("_spell", F.sum("_new").over(lane)).groupBy(*by_cols, "_spell").agg(*figures)
+    return runs.filter(~at_edge).select(*columns).unionByName(joined.select(*columns))
+
+
+def _spells(
+    points: DataFrame, by: Sequence[str], measure: str, eval_seconds: int, for_seconds: int
+) -> DataFrame:
+    """Pending and firing times of runs of evaluations over a threshold."""
+    wait = F.lit(for_seconds * MICROS_PER_SECOND)
+    fires = F.col("_to") - F.col("_from") >= wait
+    found = _islands(points.withColumnRenamed(measure, "_peak"), by, eval_seconds * MICROS_PER_SECOND)
+    return found.select(
+        *[quoted(b) for b in by],
+        from_micros(F.col("_from")).alias("pending_from"),
+        F.when(fires, from_micros(F.col("_from") + wait)).alias("firing_from"),
+        from_micros(F.col("_to")).alias("last_true"),
+        "n_evals",
+        F.col("_peak").alias(f"peak_{measure}"),
+        fires.alias("fired"),
+    )
+
+
 def alert_for_duration(
     df: DataFrame,
     threshold: float,
@@ -130,31 +190,30 @@ def alert_for_duration(
     held for ``for_seconds``. Works on the evaluation grid, which is bounded by
     the time covered, not by the number of events.
     """
-    by_cols = [quoted(b) for b in by]
-    rated = sliding(df, ts, by, {"n": F.lit(1)}, range_seconds, eval_seconds)
-    grid = rated.select(
-        *by_cols,
-        (micros("window_start") + F.lit(range_seconds * MICROS_PER_SECOND)).alias("_at"),
-        (F.col("n") / F.lit(float(range_seconds))).alias("rate"),
-    ).filter(F.col("rate") > threshold)
-    lane = Window.partitionBy(*(by_cols or [F.lit(0)])).orderBy("_at")
-    step = F.lit(eval_seconds * MICROS_PER_SECOND).cast("long")
-    spells = grid.withColumn("_island", F.col("_at") - F.row_number().over(lane) * step)
-    out = spells.groupBy(*by_cols, "_island").agg(
-        F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("n_evals"),
-        F.max("rate").alias("peak_rate"),
-    )
-    wait = F.lit(for_seconds * MICROS_PER_SECOND)
-    fires = F.col("_to") - F.col("_from") >= wait
-    return out.select(
-        *by_cols,
-        from_micros(F.col("_from")).alias("pending_from"),
-        F.when(fires, from_micros(F.col("_from") + wait)).alias("firing_from"),
-        from_micros(F.col("_to")).alias("last_true"),
-        "n_evals",
-        "peak_rate",
-        fires.alias("fired"),
-    )
+    rated = rate_sliding(df, ts, by, range_seconds, eval_seconds)
+    end = micros("window_start") + F.lit(range_seconds * MICROS_PER_SECOND)
+    return _spells(rated.filter(F.col("rate") > threshold).withColumn("_at", end), by, "rate", eval_seconds, for_seconds)
+
+
+def quantile_alert(
+    df: DataFrame,
+    value: str,
+    q: float,
+    buckets: Sequence[float],
+    threshold: float,
+    ts: str = "ts",
+    by: Sequence[str] = (),
+    range_seconds: int = 300,
+    eval_seconds: int = 30,
+    for_seconds: int = 300,
+) -> DataFrame:
+    """Spells in which the bucket quantile of ``value`` stays over ``threshold``.
+
+    An evaluation without values ends a spell.
+    """
+    rated = histogram_quantile(df, value, q, buckets, by, ts, range_seconds, eval_seconds)
+    end = micros("window_start") + F.lit(range_seconds * MICROS_PER_SECOND)
+    return _spells(rated.filter(F.col("quantile") > threshold).withColumn("_at", end), by, "quantile", eval_seconds, for_seconds)
 
 
 def gauge_last(

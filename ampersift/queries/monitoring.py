@@ -221,6 +221,52 @@ def alert_for_duration(t: Tables):
     return rounded(rollups.alert_for_duration(t.events, 0.005, "ts", ["event_type"]), "peak_rate")
 
 
+def _toxicity_sql(step: int, copies: int, label: str) -> str:
+    """Bucket quantiles (tox) of made-up toxicity scores per label and window, k steps after the epoch."""
+    bounds = ", ".join(map(str, rollups.TOXICITY_BUCKETS))
+    return f"""le AS (SELECT {label} AS label, epoch_us(ts) // {step * 1000000} - i AS k, b, count(*) FILTER (value / 200 <= b) AS c, count(*) AS n
+      FROM events, range({copies}) g(i), (SELECT unnest([{bounds}]::DOUBLE[]) AS b) GROUP BY 1, 2, 3),
+    st AS (SELECT *, lag(b, 1, 0) OVER w AS lo, lag(c, 1, 0) OVER w AS below, 0.95 * n AS rk FROM le WINDOW w AS (PARTITION BY label, k ORDER BY b)),
+    hit AS (SELECT label, k, any_value(n) AS n, min(b) FILTER (c >= rk) AS upper FROM st GROUP BY 1, 2),
+    tox AS (SELECT h.label, h.k, h.n, CASE WHEN upper IS NULL THEN 1.0 ELSE lo + (b - lo) * (rk - below) / (c - below) END AS q
+      FROM hit h LEFT JOIN st ON st.label = h.label AND st.k = h.k AND st.b = h.upper)"""
+
+
+def _toxicity(t: Tables):
+    return t.events.withColumn("toxicity", F.col("value") / 200)
+
+
+@query(
+    "toxicity_quantile_window",
+    f"""
+    WITH {_toxicity_sql(300, 1, 'event_type')}
+    SELECT label AS event_type, make_timestamp(k * 300000000) AS window_start, n, {R('q')} AS quantile FROM tox
+    """,
+)
+def toxicity_quantile_window(t: Tables):
+    """95th percentile of toxicity per label and five minutes."""
+    made = rollups.histogram_quantile(_toxicity(t), "toxicity", 0.95, rollups.TOXICITY_BUCKETS, ["event_type"], "ts")
+    return rounded(made, "quantile")
+
+
+@query(
+    "toxicity_alert",
+    f"""
+    WITH {_toxicity_sql(60, 60, "'all'")},
+    hot AS (SELECT *, k + 60 AS k2, k - row_number() OVER (ORDER BY k) AS isl FROM tox WHERE q > 0.4),
+    sp AS (SELECT min(k2) AS a, max(k2) AS z, count(*) AS n_evals, max(q) AS peak FROM hot GROUP BY isl)
+    SELECT make_timestamp(a * 60000000) AS pending_from, CASE WHEN z - a >= 5 THEN make_timestamp((a + 5) * 60000000) END AS firing_from,
+      make_timestamp(z * 60000000) AS last_true, n_evals, {R('peak')} AS peak_quantile, z - a >= 5 AS fired FROM sp
+    """,
+)
+def toxicity_alert(t: Tables):
+    """Spells of a high hourly toxicity percentile over all labels, evaluated every minute."""
+    made = rollups.quantile_alert(
+        _toxicity(t), "toxicity", 0.95, rollups.TOXICITY_BUCKETS, 0.4, "ts", range_seconds=3600, eval_seconds=60
+    )
+    return rounded(made, "peak_quantile")
+
+
 @query(
     "gauge_last",
     "SELECT user_id, arg_max(value, struct_pack(ts, event_id)) AS last_value, max(ts) AS last_ts FROM events GROUP BY 1",

@@ -75,3 +75,26 @@ def test_success_ratio_and_average(spark):
     row = rollups.avg_window(df, "v").first()
     assert (row.value_count, row.value_avg) == (1, 1.0)
     assert rollups.counter_by_label(df, ["ok"]).count() == 2
+
+
+def test_spells_go_on_over_chunks_of_time(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "CHUNK_STEPS", 4)
+    hot = [*range(3, 17), 20, 21, 23, 24, *range(28, 32)]
+    rows = [(label, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=30 * i)) for i in hot for label in "ab"]
+    events = spark.createDataFrame(rows, "label string, ts timestamp_ntz")
+    for by in ([], ["label"]):
+        made = rollups.alert_for_duration(events, 0, "ts", by, 30, 30, 90).collect()
+        runs = sorted((r.n_evals, r.fired) for r in made)
+        single = [(2, False), (2, False), (4, True), (14, True)]
+        assert runs == sorted(single * (2 if by else 1))
+        assert all((r.last_true - r.pending_from).seconds == 30 * (r.n_evals - 1) for r in made)
+
+
+def test_windowed_quantile_and_its_alert(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=m), s) for m in range(4) for s in ((0.05, 0.95) if m < 3 else (0.05, None))]
+    scores = spark.createDataFrame([*rows, (start, float("nan"))], "ts timestamp_ntz, s double")
+    made = rollups.histogram_quantile(scores, "s", 0.5, (0.5, 1.0), (), "ts", 60, 60).orderBy("window_start").collect()
+    assert [(r.n, r.quantile) for r in made] == [(2, 0.5), (2, 0.5), (2, 0.5), (1, 0.25)]
+    spells = rollups.quantile_alert(scores, "s", 0.9, (0.5, 1.0), 0.7, "ts", (), 60, 60, 120).collect()
+    assert [(r.n_evals, r.fired, r.peak_quantile) for r in spells] == [(3, True, 0.9)]
