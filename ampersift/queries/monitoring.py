@@ -307,11 +307,10 @@ def _stream(t: Tables, name: str):
     "SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def stream_rates(t: Tables):
-    """Windowed counts kept up by micro-batches; the newest count per window is read."""
+    """Windowed counts kept up by micro-batches, whose shares are added up."""
     target = scratch_path(t.spark, "rates")
-    counts = jobs.windowed_counts(_stream(t, "events"), ["event_type"])
-    jobs.drain(counts, target, scratch_path(t.spark, "rates-state"), mode="update")
-    return jobs.read_latest(t.spark, target, ["window_start", "event_type"])
+    jobs.count_stream(_stream(t, "events"), target, scratch_path(t.spark, "rates-state"), ["event_type"])
+    return jobs.read_sums(t.spark, target, ["window_start", "event_type"])
 
 
 @query(
@@ -336,6 +335,6 @@ def stream_guardrails(t: Tables):
     """Documents as a stream of inputs, one a minute."""
     target = scratch_path(t.spark, "violations")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
-    counts = jobs.violation_windows(_stream(t, "documents").withColumn("at", at), "text", "at")
-    jobs.drain(counts, target, scratch_path(t.spark, "violations-state"), mode="update")
-    return jobs.read_latest(t.spark, target, ["window_start", "outcome"])
+    asked = _stream(t, "documents").withColumn("at", at)
+    jobs.violation_stream(asked, target, scratch_path(t.spark, "violations-state"), "text", "at")
+    return jobs.read_sums(t.spark, target, ["window_start", "outcome"])

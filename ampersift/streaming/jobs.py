@@ -19,8 +19,6 @@ from ampersift.functions.columns import MICROS_PER_SECOND, quoted
 from ampersift.operators import guardrails as gr
 from ampersift.operators.upserts import keep_last
 
-LATE_HORIZON = "3 days"
-
 
 def stream_table(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
@@ -82,20 +80,31 @@ def upsert_stream(
     drain(stream, target, checkpoint, lambda batch: keep_last(batch, keys, order))
 
 
+def read_sums(spark: SparkSession, target: str, keys: Sequence[str], sums: Sequence[str] = ("n",)) -> DataFrame:
+    """Totals per key over the shares that the batches of a target have stored."""
+    stored = spark.read.parquet(target)
+    return stored.groupBy(*[quoted(k) for k in keys]).agg(*[F.sum(quoted(c)).alias(c) for c in sums])
+
+
 def windowed_counts(
     stream: DataFrame,
     by: Sequence[str],
     ts: str = "ts",
     window: str = "5 minutes",
     slide: str | None = None,
-    late: str = LATE_HORIZON,
+    late: str | None = None,
 ) -> DataFrame:
-    """Event counts per window and label, late rows accepted within the horizon."""
+    """Event counts per window and label, of a stream or of one micro-batch.
+
+    On a stream, ``late`` bounds the state: windows older than that behind the
+    newest row are closed, and rows that still come for them are not counted.
+    Where every row counts, use ``count_stream``.
+    """
     grain = F.window("_at", window, slide) if slide else F.window("_at", window)
+    # watermarks take zoned timestamps only; the session runs in UTC
+    timed = stream.withColumn("_at", quoted(ts).cast(T.TimestampType()))
     return (
-        # watermarks take zoned timestamps only; the session runs in UTC
-        stream.withColumn("_at", quoted(ts).cast(T.TimestampType()))
-        .withWatermark("_at", late)
+        (timed.withWatermark("_at", late) if late else timed)
         .groupBy(grain.alias("w"), *[quoted(b) for b in by])
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
@@ -104,16 +113,39 @@ def windowed_counts(
     )
 
 
-def violation_windows(stream: DataFrame, text: str, ts: str, window: str = "1 hour") -> DataFrame:
-    """Validate streamed inputs and count outcomes per window.
+def count_stream(
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    by: Sequence[str],
+    ts: str = "ts",
+    window: str = "5 minutes",
+) -> None:
+    """Store each micro-batch's share of the counts per window and label.
 
-    Each input yields one row per violation, or one PASSED row.
+    ``read_sums`` adds the shares up. No state is kept between batches and no
+    row is too late to be counted.
     """
-    verdicts = gr.validate_input(stream, text)
+    drain(stream, target, checkpoint, lambda batch: windowed_counts(batch, by, ts, window))
+
+
+def outcomes(verdicts: DataFrame, ts: str) -> DataFrame:
+    """One row per violation of a checked input, or one PASSED row."""
     kinds = F.transform("violations", lambda v: v["type"])
     outcome = F.when(F.col("passed"), F.array(F.lit("PASSED"))).otherwise(kinds)
-    rows = verdicts.select(quoted(ts), F.explode(outcome).alias("outcome"))
-    return windowed_counts(rows, ["outcome"], ts, window)
+    return verdicts.select(quoted(ts), F.explode(outcome).alias("outcome"))
+
+
+def violation_windows(stream: DataFrame, text: str, ts: str, window: str = "1 hour") -> DataFrame:
+    """Validate inputs, of a stream or of one micro-batch, and count outcomes per window."""
+    return windowed_counts(outcomes(gr.validate_input(stream, text), ts), ["outcome"], ts, window)
+
+
+def violation_stream(
+    stream: DataFrame, target: str, checkpoint: str, text: str, ts: str, window: str = "1 hour"
+) -> None:
+    """Store each micro-batch's share of the outcomes per window, for ``read_sums``."""
+    drain(stream, target, checkpoint, lambda batch: violation_windows(batch, text, ts, window))
 
 
 def duration_alerts(

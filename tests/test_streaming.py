@@ -40,6 +40,17 @@ def test_windowed_counts_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select("window_start", "k", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_rows_that_come_weeks_late_are_counted(spark, tmp_path):
+    for number, day in enumerate((40, 0, 39)):
+        rows = [("a", T0 + dt.timedelta(days=day, seconds=60 * i)) for i in range(7)]
+        batch = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+        batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        stream = jobs.stream_table(spark, f"{tmp_path}/src", batch.schema)
+        jobs.count_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", ["k"])
+        got = jobs.read_sums(spark, f"{tmp_path}/out", ["window_start", "k"])
+        assert got.count() == 2 * (number + 1) and got.agg(F.sum("n")).first()[0] == 7 * (number + 1)
+
+
 def test_restart_does_not_double_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, T0) for i in range(10)], "k int, ts timestamp_ntz")
     src = many_files(df, f"{tmp_path}/src", 2)
