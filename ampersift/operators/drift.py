@@ -57,13 +57,25 @@ def _value_counts(long: DataFrame, side: str, reference: str) -> DataFrame:
     )
 
 
+def _chosen(method: str | None, names: tuple[str, str], small: int) -> Column:
+    """Whether the first of two tests decides: by name, or by the reference's size."""
+    if method not in (None, *names):
+        raise ValueError(f"method has to be one of {names}")
+    return F.lit(method == names[0]) if method else F.col("n_reference") <= small
+
+
 def numeric_drift(
-    long: DataFrame, side: str = "window", reference: str = "reference", small: int = SMALL_SAMPLE
+    long: DataFrame,
+    side: str = "window",
+    reference: str = "reference",
+    small: int = SMALL_SAMPLE,
+    method: str | None = None,
 ) -> DataFrame:
     """KS and normed Wasserstein distance per column of a long (column, value) frame.
 
-    Both come from one ordered pass over the counted distinct values. The test
-    that decides is KS up to ``small`` reference rows, Wasserstein above.
+    Both come from one ordered pass over the counted distinct values and are
+    always returned. ``method`` (ks or wasserstein) decides ``drifted``; without
+    one it is KS up to ``small`` reference rows, Wasserstein above.
     """
     running = prefix_sums(
         _value_counts(long, side, reference), ["_v"], ["r", "c"], by=["column"], previous="_v"
@@ -95,7 +107,7 @@ def numeric_drift(
         (F.col("_area") / F.greatest(F.coalesce("_std", F.lit(0.0)), F.lit(0.001))).alias("wasserstein"),
     )
     out = out.withColumn("ks_pvalue", kolmogorov_pvalue(F.col("_root"))).drop("_root")
-    use_ks = F.col("n_reference") <= small
+    use_ks = _chosen(method, ("ks", "wasserstein"), small)
     return out.withColumns(
         {
             "method": F.when(use_ks, "ks").otherwise("wasserstein"),
@@ -112,8 +124,13 @@ def categorical_drift(
     side: str = "window",
     reference: str = "reference",
     small: int = SMALL_SAMPLE,
+    method: str | None = None,
 ) -> DataFrame:
-    """Chi-square and Jensen-Shannon distance of one category column, one row."""
+    """Chi-square and Jensen-Shannon distance of one category column, one row.
+
+    ``method`` (chisquare or jensenshannon) decides ``drifted``; without one it is
+    chi-square up to ``small`` reference rows, Jensen-Shannon above.
+    """
     is_ref = F.col(side) == reference
     counts = df.groupBy(quoted(column).alias("_k")).agg(
         F.count_if(is_ref).alias("r"), F.count_if(~is_ref).alias("c")
@@ -136,7 +153,7 @@ def categorical_drift(
         F.sqrt(F.greatest(F.sum(relative(p) + relative(q)) / 2, F.lit(0.0))).alias("js_distance"),
     )
     dof = (F.col("n_levels") - 1).cast("double")
-    use_chi = F.col("n_reference") <= small
+    use_chi = _chosen(method, ("chisquare", "jensenshannon"), small)
     out = out.withColumn("chi2_pvalue", chi2_pvalue(F.col("chi2"), dof))
     return out.select(
         F.lit(column).alias("column"),

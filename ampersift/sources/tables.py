@@ -143,19 +143,22 @@ def metric_upsert(
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole txt and md files as rows (``filename``, ``source``, ``text``).
+    """Whole txt and md files as rows (``filename``, ``source``, ``text``, ``error``).
 
-    Hidden files are skipped by Spark, other types by the name filter, damaged
-    files one by one.
+    Hidden files are skipped by Spark, other types by the name filter. A file that
+    is not UTF-8 has no text and says so in ``error``; others have none.
     """
+    content = F.col("content").cast("string")
+    sound = F.is_valid_utf8(content)
     files = (
-        spark.read.option("pathGlobFilter", "*.{txt,md}")
-        .option("ignoreCorruptFiles", True)
-        .text(folder, wholetext=True)
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.{txt,md}")
+        .load(folder)
         .select(
             F.col("_metadata.file_name").alias("filename"),
             F.col("_metadata.file_path").alias("source"),
-            F.col("value").alias("text"),
+            F.when(sound, content).alias("text"),
+            F.when(~sound, "not UTF-8").alias("error"),
         )
     )
     if files.isEmpty():

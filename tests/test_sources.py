@@ -72,6 +72,9 @@ def test_documents_from_files(spark, tmp_path):
         (tmp_path / name).write_text(body, encoding="utf-8")
     rows = {r.filename: r.text for r in tables.read_documents(spark, str(tmp_path)).collect()}
     assert rows == {"a.txt": "alpha\nbeta", "b.md": "# t"}
+    (tmp_path / "bad.txt").write_bytes(b"caf\xe9 \xff")
+    found = {r.filename: (r.text, r.error) for r in tables.read_documents(spark, str(tmp_path)).collect()}
+    assert found == {"a.txt": ("alpha\nbeta", None), "b.md": ("# t", None), "bad.txt": (None, "not UTF-8")}
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
         tables.read_documents(spark, str(tmp_path / "none"))

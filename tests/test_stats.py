@@ -119,6 +119,17 @@ def test_numeric_drift_matches_brute_force(spark):
     assert row.method == "ks" and row.drifted
 
 
+def test_the_deciding_test_can_be_named(spark):
+    df = spark.createDataFrame([(w, float(x)) for w in ("reference", "current") for x in range(5)], "window string, x double")
+    long = stats.unpivot(df, ["x"], ["window"])
+    for method in ("ks", "wasserstein"):
+        row = drift.numeric_drift(long, method=method).first()
+        assert (row.method, row.drifted, row.ks_statistic, row.wasserstein) == (method, False, 0.0, 0.0)
+    assert drift.categorical_drift(df, "x", method="jensenshannon").first().method == "jensenshannon"
+    with pytest.raises(ValueError):
+        drift.numeric_drift(long, method="chisquare")
+
+
 def test_categorical_drift_with_a_new_level(spark):
     rows = [("reference", "a")] * 50 + [("reference", "b")] * 50 + [("current", "a")] * 40 + [("current", "c")] * 10
     df = spark.createDataFrame(rows, "window string, k string")
