@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,11 @@ class Experiment:
         chosen = tuple(known[i] for i in enabled if i in known) if enabled else VARIANTS
         return cls(chosen, dict(split or {}))
 
+    def with_prompts(self, prompts: dict[str, str]) -> Experiment:
+        """The same experiment with the given prompt of each variant (``{context}`` slot)."""
+        changed = tuple(replace(v, prompt=prompts.get(v.id, v.prompt)) for v in self.variants)
+        return replace(self, variants=changed)
+
     @property
     def shares(self) -> dict[str, float]:
         return self.split or {v.id: 1.0 / len(self.variants) for v in self.variants}

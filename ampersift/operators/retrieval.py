@@ -7,11 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine, quoted, similarity
@@ -200,17 +198,40 @@ def source_rows(hits: DataFrame, documents: DataFrame, text: str = "text", sourc
     )
 
 
+def _buckets(text: str, dimension: int) -> Column:
+    """The bucket of every word: the first 32 bits of its md5 by ``dimension``."""
+    words = F.regexp_extract_all(F.lower(quoted(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    placed = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimension).cast("int"))
+    return F.coalesce(placed, F.array().cast("array<int>"))
+
+
+def bucket_weights(df: DataFrame, text: str = "text", dimension: int = 384) -> np.ndarray:
+    """Inverse document frequency of every bucket; one number per dimension comes to the driver."""
+    held = df.select(F.explode(F.array_distinct(_buckets(text, dimension))).alias("b")).groupBy("b").count().collect()
+    found = np.zeros(dimension)
+    for b, n in held:
+        found[b] = n
+    return np.log((df.count() + 1) / (found + 1))
+
+
+def embed(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """Unit-length weighted bucket counts in column ``embedding``; a text without
+    words, or of buckets without weight only, has the zero vector."""
+    dimension = len(weights)
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for buckets in batch:
+                v = np.bincount(buckets, minlength=dimension) * weights
+                size = np.sqrt((v * v).sum())
+                out.append((v / size if size > 0 else v).astype(np.float32))
+            yield pd.Series(out)
+
+    return df.withColumn("embedding", vectors(_buckets(text, dimension)))
+
+
 def hash_embed(df: DataFrame, text: str = "text", dimension: int = 384) -> DataFrame:
-    """Unit-length hashed TF-IDF vectors in column ``embedding``."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimension),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
-    ]
-    fitted = Pipeline(stages=stages).fit(df)
-    return (
-        fitted.transform(df)
-        .withColumn("embedding", vector_to_array("_unit", "float32"))
-        .drop("_words", "_tf", "_tfidf", "_unit")
-    )
+    """Hashed TF-IDF vectors in column ``embedding``, weighted by the rows of ``df``."""
+    return embed(df, bucket_weights(df, text, dimension), text)

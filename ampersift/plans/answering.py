@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import quoted
 from ampersift.operators import experiments as ab
 from ampersift.operators import guardrails as gr
-from ampersift.operators.retrieval import knn_topk
-from ampersift.operators.text import build_prompts
+from ampersift.operators.retrieval import bucket_weights, embed, knn_topk
+from ampersift.operators.text import (
+    CHUNK_OVERLAP,
+    CHUNK_SIZE,
+    build_prompts,
+    chunk_fixed,
+    index_metadata,
+    number_chunks,
+)
+from ampersift.session import freeze
+from ampersift.sources.tables import save_index
 
 
 def screen_questions(
@@ -25,6 +35,34 @@ def screen_questions(
     return checked.withColumn("admitted", F.col("passed") & ~F.col("rejected"))
 
 
+def build_index(documents: DataFrame, path: str, dimension: int = 384, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> np.ndarray:
+    """Cut documents into chunks, give them numbers and vectors and store them under
+    ``path``; returns the bucket weights, with which questions are embedded alike."""
+    chunks = number_chunks(chunk_fixed(documents, size=size, overlap=overlap))
+    weights = bucket_weights(chunks, "chunk_text", dimension)
+    stored = embed(chunks, weights, "chunk_text").withColumnRenamed("embedding", "vector")
+    save_index(stored, index_metadata(stored, documents, "hashed-tfidf", dimension, size, overlap), path)
+    return weights
+
+
+def answer_from_index(
+    questions: DataFrame,
+    path: str,
+    weights: np.ndarray,
+    question: str = "question",
+    user: str = "user_id",
+    experiment: ab.Experiment = ab.LIVE,
+    k: int = 3,
+) -> DataFrame:
+    """Questions (``query_id``) screened, embedded, matched with a stored index and
+    put into the prompt of their variant."""
+    admitted = screen_questions(questions, question, user, experiment=experiment).filter("admitted")
+    # screened and embedded once; the search and the prompts both read it
+    asked = freeze(embed(admitted, weights, question).withColumnRenamed("embedding", "vector"))
+    chunks = questions.sparkSession.read.parquet(f"{path}/chunks")
+    return prepare_prompts(asked, chunks, experiment, k, chunk_id="chunk_id")
+
+
 def prepare_prompts(
     admitted: DataFrame,
     chunks: DataFrame,

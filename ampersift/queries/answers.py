@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine
+from ampersift.operators import experiments as ab
 from ampersift.operators import guardrails as gr
 from ampersift.operators import retrieval as rt
 from ampersift.operators import text
@@ -76,10 +77,31 @@ def chunk_recursive(t: Tables):
     return text.number_chunks(slim)
 
 
-@query("hash_embed")
+def _weights_sql(rows: str) -> str:
+    """Words by bucket (tf) of ``rows`` (id, body) and the bucket weights (idf)."""
+    return f"""tf AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIMENSION} AS b, count(*) AS c
+    FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {rows}) GROUP BY 1, 2),
+  idf AS (SELECT b, ln((SELECT count(*) + 1 FROM {rows}) / CAST(count(*) + 1 AS DOUBLE)) AS weight FROM tf GROUP BY 1)"""
+
+
+def _vectors_sql(name: str, rows: str, tf: str = "tf") -> str:
+    """Unit vectors (id, v) of ``rows`` under the name ``name``."""
+    return f"""{name}_x AS (SELECT id, b, c * coalesce(weight, ln((SELECT n + 1 FROM fitted))) AS x FROM {tf} LEFT JOIN idf USING (b)),
+  {name}_z AS (SELECT id, sqrt(sum(x * x)) AS z FROM {name}_x GROUP BY 1),
+  {name} AS (SELECT r.id, list(CASE WHEN z > 0 THEN CAST(coalesce(x, 0) / z AS FLOAT) ELSE 0::FLOAT END ORDER BY g.i) AS v
+    FROM (SELECT id FROM {rows}) r CROSS JOIN range({DIMENSION}) g(i) LEFT JOIN {name}_x x ON x.id = r.id AND x.b = g.i LEFT JOIN {name}_z n ON n.id = r.id GROUP BY 1)"""
+
+
+@query(
+    "hash_embed",
+    f"""
+    WITH body AS (SELECT doc_id AS id, text AS body FROM documents), fitted AS (SELECT count(*) AS n FROM body), {_weights_sql('body')}, {_vectors_sql('made', 'body')}
+    SELECT id AS doc_id, list_transform(v, lambda x: round(CAST(x AS DOUBLE), 6) + 0) AS embedding FROM made
+    """,
+)
 def hash_embed(t: Tables):
     made = rt.hash_embed(t.documents.select("doc_id", "text"), dimension=DIMENSION)
-    return made.select("doc_id", "embedding")
+    return made.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query("index_build")
@@ -218,12 +240,26 @@ def cosine_pairs(t: Tables):
     return made.select("vec_id", r("similarity").alias("similarity"), text.similarity_band("similarity").alias("band"))
 
 
-@query("answer_eval")
+EVALUATED = f"""bodies AS (SELECT 'a' || doc_id AS id, text AS body FROM documents UNION ALL SELECT 't' || item_id, text FROM benchmark), fitted AS (SELECT count(*) AS n FROM bodies),
+  {_weights_sql('bodies')}, {_vectors_sql('made', 'bodies')},
+  digits AS (SELECT doc_id, source AS strategy, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM documents),
+  judged AS (SELECT *, CASE WHEN coalesce(d, '') = '' THEN 3 WHEN length(ltrim(d, '0')) > 1 THEN 5 ELSE greatest(1, least(5, coalesce(TRY_CAST(ltrim(d, '0') AS INT), 0))) END AS score FROM digits),
+  pairs AS (SELECT strategy, score, CAST(a.v AS DOUBLE[]) AS x, CAST(b.v AS DOUBLE[]) AS y FROM judged JOIN made a ON a.id = 'a' || doc_id
+    JOIN made b ON b.id = 't' || (doc_id % (SELECT count(*) FROM benchmark))),
+  sized AS (SELECT *, list_inner_product(x, y) AS xy, sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)) AS size FROM pairs)"""
+
+
+@query(
+    "answer_eval",
+    f"""
+    WITH {EVALUATED} SELECT strategy, {R('avg(CASE WHEN size > 0 THEN xy / size ELSE 0 END)')} AS avg_cosine_similarity, {R('avg(score)')} AS avg_quality_score FROM sized GROUP BY 1
+    """,
+)
 def answer_eval(t: Tables):
-    """Hashed vectors of document passages against the benchmark texts they quote.
+    """Hashed vectors of documents against benchmark texts, averaged per source.
 
-    Each answer is paired with the benchmark item of its number, scored by
-    cosine similarity and a parsed judge reply, and averaged per source.
+    The tables hold no true answers: a document stands for an answer and for the
+    judge's reply to it, the benchmark item of its number for the truth.
     """
     answers = t.documents.select("doc_id", F.col("source").alias("strategy"), "text")
     total = t.benchmark.agg(F.count(F.lit(1))).scalar()
@@ -322,6 +358,43 @@ def prepare_prompts(t: Tables):
     return made.select("query_id", "variant_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
 
 
+# What each variant puts before its context.
+STYLES = {
+    "control": "Use these passages.\n{context}",
+    "concise": "Answer in one sentence.\n{context}",
+    "detailed": "Give every detail.\n{context}",
+    "conversational": "Answer as in a talk.\n{context}",
+}
+
+RAG = f"""{MESSAGES}, asked AS (SELECT m.conv_id, m.text FROM messages m JOIN (SELECT conv_id, max(turn) AS turn FROM messages WHERE role = 'user' GROUP BY 1) USING (conv_id, turn) WHERE m.role = 'user'),
+  {VERDICT}, ok AS (SELECT conv_id AS id, text AS body, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS u FROM verdicts WHERE violation IS NULL),
+  {FIXED}, body AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_pos) - 1 AS id, chunk_text AS body FROM fixed), fitted AS (SELECT count(*) AS n FROM body),
+  {_weights_sql('body')}, {_vectors_sql('chunk', 'body')},
+  qtf AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIMENSION} AS b, count(*) AS c
+    FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ok) GROUP BY 1, 2),
+  {_vectors_sql('question', 'ok', 'qtf')},
+  gap AS (SELECT q.id, c.id AS chunk, list_sum(list_transform(list_zip(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM question q, chunk c),
+  near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, chunk) AS rank FROM gap),
+  ctx AS (SELECT n.id, string_agg(b.body, chr(10) || chr(10) ORDER BY rank) AS context FROM near n JOIN body b ON b.id = n.chunk WHERE rank <= 3 GROUP BY 1),
+  made AS (SELECT id, CASE WHEN u <= 40 THEN 'control' WHEN u <= 60 THEN 'concise' WHEN u <= 80 THEN 'detailed' ELSE 'conversational' END AS variant_id, coalesce(context, '') AS context, body FROM ok LEFT JOIN ctx USING (id)),
+  filled AS (SELECT id, variant_id, CASE variant_id {" ".join(f"WHEN '{k}' THEN {quoted_sql(v.split(chr(10))[0])}" for k, v in STYLES.items())} END || chr(10) || context || chr(10) || chr(10) || body AS prompt FROM made)"""
+
+
+@query(
+    "rag_end_to_end",
+    f"WITH {RAG} SELECT id AS query_id, variant_id, length(prompt) AS n, md5(prompt) AS digest FROM filled",
+)
+def rag_end_to_end(t: Tables):
+    """All documents chunked, embedded and stored; all last questions screened,
+    embedded, matched with the stored chunks and put into their variant's prompt."""
+    path = scratch_path(t.spark, "rag-index")
+    weights = answering.build_index(t.documents.select("doc_id", "text"), path, DIMENSION)
+    asked = t.messages.filter("role = 'user'").join(text.last_user_turns(t.messages), ["conv_id", "turn"])
+    asked = asked.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("user_id"), F.col("text").alias("question"))
+    made = answering.answer_from_index(asked, path, weights, experiment=ab.LIVE.with_prompts(STYLES))
+    return made.select("query_id", "variant_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+
+
 @query(
     "log_answers",
     f"""
