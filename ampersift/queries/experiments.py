@@ -312,6 +312,15 @@ def histogram(t: Tables):
     return rounded(stats.histogram(t.orders, ["o_totalprice"]), "bin_start")
 
 
+ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("histogram_columns", " UNION ALL ".join(_histogram_sql(c, "orders") for c in ORDER_NUMBERS))
+def histogram_columns(t: Tables):
+    """Bins of every numeric column of the orders."""
+    return rounded(stats.histogram(t.orders, ORDER_NUMBERS), "bin_start")
+
+
 @query(
     "regression_metrics",
     f"""

@@ -160,3 +160,13 @@ def test_missing_values_and_dataset_share(spark):
     assert (row.n_columns, row.n_drifted, row.dataset_drift) == (2, 1, True)
     gaps = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
     assert drift.missing_values(gaps, ["x"]).first().missing == 2
+
+
+def test_registered_histogram_covers_every_numeric_column(spark, small_dir):
+    import __spark_entry__ as entry
+
+    orders = spark.read.parquet(f"{small_dir}/orders.parquet")
+    numeric = {c for c, kind in orders.dtypes if kind in ("bigint", "int", "double", "float") or kind.startswith("decimal")}
+    rows = entry.queries()["histogram_columns"](spark, small_dir).collect()
+    assert {r["column"] for r in rows} == numeric
+    assert all(sum(r["n"] for r in rows if r["column"] == c) == orders.where(f"{c} IS NOT NULL").count() for c in numeric)
