@@ -30,11 +30,12 @@ from pyspark.sql import types as T
 from ampersift.llm.common import annotate, once, plain, ready
 
 # The classifier is fitted on a bounded sample: of each language the labelled
-# rows that come first by a hash of their text, and so many letters of them.
+# rows that come first by a hash of their text, and so many letters of
+# them, in equal shares as far as the rows have them.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 60_000
 # All languages together; with more languages each has a smaller share.
 MODEL_CHARS = 240_000
-# The commonest letters of the sample have symbols of their own, all others share one.
+# The commonest letters of the sample have a column of the dense table, the others a sorted list.
 ALPHABET = 62
 BLOCK = 512
 UNKNOWN = "und"
@@ -52,8 +53,10 @@ def letters(text: str | None) -> str:
     return " ".join(_GAP.split(text.lower())).strip()
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of ``text``.
+def automaton(text: np.ndarray, symbols: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of ``text``: dense for the first
+    ``symbols``; of the others, up to ``every``, (state, symbol, entry) and the
+    entry where no phrase goes on.
 
     Entry [state * symbols + c] is (next state * symbols) << 1. Where no phrase
     goes on, it is the state after c alone with the low bit set: a new phrase. The
@@ -85,12 +88,16 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = split
         last = state
-    fresh = np.array([move[0].get(c, len(move)) for c in range(symbols)], np.int32) * symbols * 2 + 1
-    table = np.tile(fresh, (len(move) + 1, 1))
+    fresh = np.array([move[0].get(c, len(move)) for c in range(every)], np.int32) * symbols * 2 + 1
+    table = np.tile(fresh[:symbols], (len(move) + 1, 1))
+    others = []
     for state, nexts in enumerate(move):
         for c, to in nexts.items():
-            table[state, c] = to * symbols * 2
-    return table.ravel()
+            if c < symbols:
+                table[state, c] = to * symbols * 2
+            else:
+                others.append((state, c, to * symbols * 2))
+    return table.ravel(), np.array(others, np.int64).reshape(-1, 3), fresh[symbols:]
 
 
 class Model:
@@ -102,21 +109,45 @@ class Model:
         for _, text in samples:
             for ch in set(text):
                 counts[ch] = counts.get(ch, 0) + text.count(ch)
-        common = sorted(counts, key=lambda ch: (-counts[ch], ch))[:ALPHABET]
-        self.symbols = len(common) + 1
-        self.codes = np.array(sorted(ord(ch) for ch in common), np.uint32)
-        tables = [automaton(self.encode(text), self.symbols) for _, text in samples]
+        ranked = [ord(ch) for ch in sorted(counts, key=lambda ch: (-counts[ch], ch))]
+        self.symbols = min(len(ranked), ALPHABET) + 1
+        self.codes, rank = np.unique(np.array(ranked, np.uint32), return_index=True)
+        self.number = (rank + 1).astype(np.int32)  # commonest first
+        parts = [automaton(self.encode(text), self.symbols, len(ranked) + 1) for _, text in samples]
+        tables = [t for t, _, _ in parts]
         starts = np.cumsum([0, *(len(t) for t in tables[:-1])])
         ends = starts + np.array([len(t) - self.symbols for t in tables])
         self.starts = np.array(ends, np.int32)  # a block starts a phrase
         self.table = np.concatenate([t + np.int32(2 * s) for t, s in zip(tables, starts, strict=True)])
+        self.rare = len(ranked) + 1 - self.symbols
+        self.fresh = np.stack([f + 2 * s for (_, _, f), s in zip(parts, starts, strict=True)], axis=1)  # (rare, languages)
+        others = [np.stack([self._key(o[:, 0] + s // self.symbols, o[:, 1]), o[:, 2] + 2 * s]) for (_, o, _), s in zip(parts, starts, strict=True)]
+        joined = np.concatenate(others, axis=1)
+        self.others = joined[:, np.argsort(joined[0])]
+
+    def _key(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Of a transition by a rare symbol."""
+        return row.astype(np.int64) * max(1, self.rare) + symbol - self.symbols
+
+    def moves(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries behind the states (texts x languages) by the texts' symbols."""
+        common = symbol < self.symbols
+        if common.all():
+            return self.table[state + symbol[:, None]]
+        out = self.table[state + np.where(common, symbol, 0)[:, None]]
+        at = np.flatnonzero(~common)
+        wanted = self._key(state[at] // self.symbols, symbol[at][:, None])
+        spot = np.minimum(np.searchsorted(self.others[0], wanted), self.others.shape[1] - 1)
+        known = self.others[0][spot] == wanted
+        out[at] = np.where(known, self.others[1][spot], self.fresh[symbol[at] - self.symbols])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Symbols of a text; letters not in the alphabet share symbol 0."""
+        """Symbols of a text; letters that no sample has share symbol 0."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.searchsorted(self.codes, points)
         at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == points, at + 1, 0).astype(np.uint8)
+        return np.where(self.codes[at] == points, self.number[at], 0).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases needed, by text and language."""
@@ -135,7 +166,7 @@ class Model:
         state = np.tile(self.starts, (len(order), 1))
         for step in range(int(length[0]) if len(length) else 0):
             n = int(alive[step])
-            move = self.table[state[:n] + flat[begin[:n] + step][:, None]]
+            move = self.moves(state[:n], flat[begin[:n] + step])
             total[:n] += move & 1
             state[:n] = move >> 1
         out = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -177,7 +208,17 @@ def labelled_sample(labelled: DataFrame, text: str = "text", lang: str = "lang")
     for row in found.groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key").collect():
         held.setdefault(row["lang"], []).append(letters(row["text"]))
     share = min(SAMPLE_CHARS, MODEL_CHARS // max(1, len(held)))
-    return [(k, " ".join(v)[:share]) for k, v in sorted(held.items())]
+    return [(k, shared_out(v, share)) for k, v in sorted(held.items())]
+
+
+def shared_out(texts: list[str], size: int) -> str:
+    """``size`` letters at most, in equal shares of the texts; what short ones leave goes to the others."""
+    texts = [t for t in texts if t]
+    left, take = size - len(texts) + 1, [0] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        take[i] = min(len(texts[i]), max(0, left) // (len(texts) - done))
+        left -= take[i]
+    return " ".join(t[:n] for t, n in zip(texts, take, strict=True) if n)
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:

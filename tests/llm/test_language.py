@@ -48,3 +48,24 @@ def test_texts_without_letters_and_clashing_columns(llm, docs):
 def test_nothing_to_learn_and_empty_table(docs):
     assert {r["lang_pred"] for r in language.identify(docs([(1, "a b")]), docs([]).limit(0)).collect()} == {"und"}
     assert language.identify(docs([]).limit(0), docs([(1, "a b")])).count() == 0
+
+
+def test_phrases_equal_a_plain_parse_beyond_the_common_letters():
+    rng = np.random.default_rng(6)
+    han = "".join(chr(0x4E00 + i) for i in range(150))
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    samples = [("en", draw("abc ", 900)), ("ru", draw("абв ", 900)), ("zh", draw(han, 900))]
+    model = language.Model(samples)
+    texts = [samples[2][1][100:400], draw(han, 600), draw(han + "abc абвž", 700), samples[1][1][5:90], "ž"]
+    want = [[plain_phrases(t, known) for _, known in samples] for t in texts]
+    assert model.phrases(texts).tolist() == want
+    assert model.judge(texts)[0][:2] == ["zh", "zh"]
+
+
+def test_one_long_text_is_not_the_whole_sample(llm):
+    short = [(f"der die das wort{chr(97 + i)} und", "de") for i in range(20)]
+    rows = [("the of and " * 9000, "de"), *short]
+    taught = llm.createDataFrame(rows, "text string, lang string")
+    ((_, sample),) = language.labelled_sample(taught)
+    assert all(t in sample for t, _ in short) and len(sample) <= language.SAMPLE_CHARS
+    assert language.shared_out(["a" * 100, "b" * 3, "c" * 100], 25) == "a" * 10 + " bbb " + "c" * 10
