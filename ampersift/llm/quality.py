@@ -17,6 +17,9 @@ columns stay, those named like a result column are replaced.
 
 from __future__ import annotations
 
+import itertools
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +29,8 @@ from pyspark.sql import types as T
 from ampersift.llm.common import annotate, odd_numbers, plain, raw_texts, ready
 
 # The field is fitted on so many documents of each label, first by hash, and so
-# many lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 1500, 64
+# many lines of each, in runs of RUN from all parts of the document.
+SAMPLE_DOCS, SAMPLE_LINES, RUN = 1500, 64, 16
 MIN_WORDS, MAX_REPEATED = 20, 30
 WINDOW = 8
 # Share of the words that has to stand in content lines.
@@ -223,6 +226,19 @@ class ChainField:
         return np.array(labels[::-1])
 
 
+def sampled_runs(active: np.ndarray, raw: bytes) -> list[np.ndarray]:
+    """All lines of a document, or of a longer one SAMPLE_LINES in runs: its
+    head, its end, and in each equal part between them one placed by a hash."""
+    if len(active) <= SAMPLE_LINES:
+        return [active]
+    number = SAMPLE_LINES // RUN
+    edges = np.linspace(RUN, len(active) - RUN, number - 1).astype(int)
+    key = zlib.crc32(raw)
+    places = [0, len(active) - RUN]
+    places += [int(a + (key * (i + 1)) % max(1, b - a - RUN + 1)) for i, (a, b) in enumerate(itertools.pairwise(edges))]
+    return [active[p : p + RUN] for p in sorted(places)]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ChainField:
     """A field fitted on the bounded sample of ``labels`` (doc_id, quality) and
     the texts of ``docs``. The sample is chosen from the labels, so no text moves."""
@@ -234,9 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ChainField:
 
     def run(batches):
         for batch in batches:
-            found = [described(raw)[1][:SAMPLE_LINES].tolist() for raw in raw_texts(batch)]
+            quality, found = [], []
+            for label, raw in zip(batch.column("quality").to_pylist(), raw_texts(batch), strict=True):
+                parts = sampled_runs(described(raw)[1], raw)
+                quality += [label] * len(parts)
+                found += [p.tolist() for p in parts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("quality"), pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["quality", "chain"]
+                [pa.array(quality, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["quality", "chain"]
             )
 
     got = sample.mapInArrow(run, "quality int, chain array<array<bigint>>").toArrow()

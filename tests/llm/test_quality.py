@@ -70,3 +70,17 @@ def test_without_labels_and_empty(llm, docs):
     field = quality.fit(docs([(1, "a b")]), labels)
     assert not field.weights.any()
     assert quality.judge(docs([]).limit(0), field).count() == 0
+
+
+@pytest.mark.parametrize("n", [65, 66, 100, 1000])
+def test_sampled_runs_reach_all_parts(n):
+    lines = np.arange(n).reshape(-1, 1)
+    starts = set()
+    for k in range(40):
+        runs = [r.ravel() for r in quality.sampled_runs(lines, b"text %d" % k)]
+        assert sum(map(len, runs)) == quality.SAMPLE_LINES and len(set(np.concatenate(runs).tolist())) == quality.SAMPLE_LINES
+        assert all((np.diff(r) == 1).all() for r in runs)
+        assert runs[0][0] == 0 and runs[-1][-1] == n - 1
+        starts |= {int(r[0]) for r in runs[1:-1]}
+    assert n < 100 or len(starts) > 10
+    assert len(quality.sampled_runs(lines[:64], b"x")) == 1
