@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, neardup, packing, pii, quality, repeats, scoring, secrets, toolcalls
+from ampersift.llm import language, neardup, packing, pii, quality, repeats, scoring, secrets, toolcalls, toxicity
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,3 +276,12 @@ def tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
     calls, results = derived_calls(table(spark, folder, "conversations"))
     schemas = spark.createDataFrame(TOOLS, "tool string, name string, kind string, required boolean")
     return toolcalls.link_calls(calls, results, schemas)
+
+
+@query("op11_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; the dictionaries learn from three fourths of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    quarter = F.coalesce(text_crc() % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, table(spark, folder, "labels").select("doc_id", "toxic").where(~quarter))
+    return toxicity.score(docs, model).select("doc_id", quarter.alias("held_out"), "score", "predicted")
