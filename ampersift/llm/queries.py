@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, neardup, packing, pii, quality, repeats, scoring, secrets, toolcalls, toxicity
+from ampersift.llm import language, neardup, packing, pii, prefixtrie, quality, repeats, scoring, secrets, toolcalls, toxicity
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,43 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     quarter = F.coalesce(text_crc() % 4 == 2, F.lit(False))
     model = toxicity.fit(docs, table(spark, folder, "labels").select("doc_id", "toxic").where(~quarter))
     return toxicity.score(docs, model).select("doc_id", quarter.alias("held_out"), "score", "predicted")
+
+
+OP12_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS e,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(e ORDER BY turn NULLS FIRST, e) AS e, list(n ORDER BY turn NULLS FIRST, e) AS n FROM ordered GROUP BY 1),
+kept AS (
+  SELECT c, e, n, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                    lambda v, o: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 4 AS h
+  FROM own),
+rebuilt AS (
+  SELECT k.c, coalesce(b.e[1:k.h], []) || k.e[k.h + 1:] AS e, coalesce(b.n[1:k.h], []) || k.n[k.h + 1:] AS n
+  FROM kept k LEFT JOIN own b ON b.c = k.c - k.c % 20),
+members AS (
+  SELECT c, d, len(e) AS size, array_to_string(e[1:d], '') AS key, CASE WHEN d = 0 THEN 0 ELSE n[d] END AS words
+  FROM (SELECT c, e, n, unnest(range(0, len(e) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, key, min(c) AS conv, count(*) AS n_convs, any_value(words) AS words, max(size) = d AS leaf,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '') AS ends
+  FROM members GROUP BY 1, 2),
+above AS (
+  SELECT x.d, x.conv, y.d AS yd, y.conv AS yc, y.leaf, (y.n_convs - 1) * y.words AS saved
+  FROM nodes y JOIN members m ON m.c = y.conv AND m.d <= y.d JOIN nodes x ON x.d = m.d AND x.key = m.key),
+sums AS (
+  SELECT d, conv, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved, count(*) FILTER (yd = d + 1) AS n_children
+  FROM above GROUP BY 1, 2)
+SELECT n.conv AS conv_id, n.d AS depth, p.conv AS parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM nodes n JOIN sums USING (d, conv) LEFT JOIN above p ON p.yd = n.d AND p.yc = n.conv AND p.d = n.d - 1
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Trie of the prefixes of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
