@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.llm import decontaminate as dc
-from ampersift.llm import language, neardup, packing, pii, prefixtrie, quality, repeats, scoring, secrets, toolcalls, toxicity
+from ampersift.llm import language, neardup, negatives, packing, pii, prefixtrie, quality, repeats, scoring, secrets, toolcalls, toxicity
 from ampersift.llm.common import table, text_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,3 +325,32 @@ FROM nodes n JOIN sums USING (d, conv) LEFT JOIN above p ON p.yd = n.d AND p.yc
 def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Trie of the prefixes of all rebuilt conversations."""
     return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
+
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    return negatives.mine(table(spark, folder, "embeddings"))
