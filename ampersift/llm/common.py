@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -73,10 +74,17 @@ def annotate(df: DataFrame, fields: T.StructType, setup: Callable[[], Step]) ->
     names = [*base.columns, *fields.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = set(worker_state())
+        asked().clear()
         step = setup()
-        for batch in batches:
-            new = step(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(new[n] for n in fields.names)], names=names)
+        for key in held - asked():  # models of an earlier operator
+            worker_state().pop(key, None)
+        try:
+            for batch in batches:
+                new = step(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(new[n] for n in fields.names)], names=names)
+        finally:
+            trim()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields.fields]))
 
@@ -92,13 +100,35 @@ def worker_state() -> dict:
     return home.__dict__.setdefault("state", {})
 
 
+def asked() -> set:
+    """Keys of the models that the running task has asked for."""
+    worker_state()
+    return sys.modules["_ampersift_worker"].__dict__.setdefault("asked", set())
+
+
+def trim() -> None:
+    """Give memory that a task no longer needs back to the machine.
+
+    Workers are used again by later stages; what one task has freed would
+    otherwise stay with the process.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if give_back is not None:
+        give_back(0)
+
+
 def once(key: object, build: Callable[[], object]) -> object:
-    """``build()`` kept in the worker; the last few results stay."""
+    """``build()`` kept in the worker until another operator's task begins; the
+    last few results stay."""
     kept = worker_state()
+    asked().add(key)
     if key not in kept:
         while len(kept) >= 4:
             kept.pop(next(iter(kept)))
         kept[key] = build()
+        trim()
     return kept[key]
 
 

@@ -128,12 +128,13 @@ def _scanned(docs: DataFrame, index: NgramIndex, first: bool) -> DataFrame:
         lookup = ngrams.vocabulary.get
 
         def step(batch: pa.RecordBatch) -> dict:
-            split = [words(raw) for raw in raw_texts(batch)]
-            sizes = [len(w) for w in split]
+            # numbers of a text's words and a gap, one text after the other: the words themselves are not kept
+            numbers = [np.fromiter((lookup(w, 0) for w in words(raw)), np.uint64) for raw in raw_texts(batch)]
+            sizes = [len(n) for n in numbers]
             starts = np.concatenate([[0], np.cumsum([n + 1 for n in sizes])]).astype(np.int64)
             ids = np.zeros(int(starts[-1]), np.uint64)
-            for at, own in zip(starts.tolist(), split, strict=False):
-                ids[at : at + len(own)] = [lookup(w, 0) for w in own]
+            for at, own in zip(starts.tolist(), numbers, strict=False):
+                ids[at : at + len(own)] = own
             covered: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
             for p, size, names in ngrams.scan(ids):

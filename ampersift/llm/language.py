@@ -50,7 +50,11 @@ def letters(text: str | None) -> str:
     """Lower-case words of letters, one space between."""
     if not text:
         return ""
-    return " ".join(_GAP.split(text.lower())).strip()
+    words = " ".join(_GAP.split(text.lower())).strip()
+    if not words or words.replace(" ", "").isalpha():
+        return words
+    # numbers such as ½ or Ⅷ are word characters but no letters
+    return " ".join("".join(c if c.isalpha() else " " for c in words).split())
 
 
 def automaton(text: np.ndarray, symbols: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Language ID: cross-parsing against a plain parse, held-out accuracy."""
 
 import numpy as np
+import pytest
 
 from ampersift.llm import language, queries
 
@@ -69,3 +70,14 @@ def test_one_long_text_is_not_the_whole_sample(llm):
     ((_, sample),) = language.labelled_sample(taught)
     assert all(t in sample for t, _ in short) and len(sample) <= language.SAMPLE_CHARS
     assert language.shared_out(["a" * 100, "b" * 3, "c" * 100], 25) == "a" * 10 + " bbb " + "c" * 10
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ", "① ٣ _ 7", "", None, "\u0301"])
+def test_texts_without_letters_have_no_language(llm, docs, text):
+    labelled = docs([(i, "hello world of words") for i in range(4)])
+    (row,) = language.identify(docs([(1, text)]), labelled.select("text", "lang")).collect()
+    assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+
+
+def test_numbers_part_words():
+    assert language.letters("aⅧb ½ Ümlaut") == "a b ümlaut"
