@@ -18,6 +18,7 @@ from ampersift.operators.joins import (
     rows_not_in,
 )
 from ampersift.operators.upserts import append_keep_first, append_keep_last, keep_first
+from ampersift.sources.daily import DailyTable
 
 # Inputs standardised for the selected-feature table.
 CONTRACT_SCALED = tuple(
@@ -63,6 +64,13 @@ def append_historical(
     return append_keep_last(existing, fe.day_before(new, as_of, ts), [ts])
 
 
+def append_day(table: DailyTable, new: DataFrame, as_of: Column | str) -> list[str]:
+    """``append_historical`` on a table stored by day: an empty table takes
+    everything, a later run the previous day only, and only that day is rewritten."""
+    first = table.read().isEmpty()
+    return table.append(new if first else fe.day_before(new, as_of, table.ts))
+
+
 def historical_merge(
     weather: DataFrame,
     air: DataFrame,

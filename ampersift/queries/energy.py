@@ -14,6 +14,7 @@ from ampersift.queries import registry
 from ampersift.queries.registry import HOURLY, Tables, query
 from ampersift.session import freeze, scratch_path
 from ampersift.sources import feeds, tables
+from ampersift.sources.daily import DailyTable
 
 # Averages of two-decimal values end on a 5 too often for six digits.
 R = partial(registry.R, digits=9)
@@ -708,6 +709,37 @@ def append_historical(t: Tables):
     return upserts.append_keep_last(readings("view", "click"), fresh, ["user_id", "ts"])
 
 
+@query(
+    "append_days",
+    """
+    WITH d AS (SELECT max(CAST(ts AS DATE)) AS day FROM events),
+    readings AS (SELECT user_id, date_trunc('hour', ts) AS ts, event_type, value FROM events),
+    first AS (SELECT user_id, ts, 0 AS src, max(value) AS value, count(*) AS n FROM readings
+              WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+    second AS (SELECT user_id, ts, 1 AS src, max(value) AS value, count(*) AS n FROM readings, d
+               WHERE event_type = 'purchase' AND CAST(ts AS DATE) = d.day - 1 GROUP BY 1, 2),
+    third AS (SELECT user_id, ts, 2 AS src, max(value) AS value, count(*) AS n FROM readings, d
+              WHERE event_type = 'signup' AND CAST(ts AS DATE) = d.day - 2 GROUP BY 1, 2),
+    b AS (SELECT * FROM first UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third)
+    SELECT user_id, ts, arg_max(value, src) AS value, arg_max(n, src) AS n FROM b GROUP BY 1, 2
+    """,
+)
+def append_days(t: Tables):
+    """Two daily appends to a table stored by day: each rewrites one day."""
+
+    def readings(*kinds: str):
+        picked = t.events.filter(F.col("event_type").isin(*kinds))
+        return picked.groupBy("user_id", at_grain("ts", "hour").alias("ts")).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+    history = readings("view", "click")
+    table = DailyTable(t.spark, scratch_path(t.spark, "readings-by-day"), history.schema, ["user_id", "ts"], "ts")
+    as_of = t.events.agg(F.to_date(F.max("ts"))).scalar()
+    plans.append_day(table, history, as_of)
+    plans.append_day(table, readings("purchase"), as_of)
+    plans.append_day(table, readings("signup"), F.date_sub(as_of, 1))
+    return table.read()
+
+
 @query(
     "collect_day",
     f"""

@@ -9,6 +9,7 @@ from ampersift.operators.stats import unpivot
 from ampersift.queries.registry import AB_LOG, HOURLY, R, Tables, query, rounded
 from ampersift.queries.safety import VERDICT
 from ampersift.session import scratch_path
+from ampersift.sources.daily import DailyTable
 from ampersift.streaming import jobs
 
 WINDOWS = """w AS (SELECT e.*, CASE WHEN ts >= m - INTERVAL 7 DAY THEN 'current'
@@ -324,6 +325,22 @@ def stream_upsert(t: Tables):
     return jobs.read_latest(t.spark, target, ["user_id"], ["ts", "event_id"])
 
 
+@query(
+    "stream_days",
+    """
+    SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value
+    FROM events GROUP BY user_id, CAST(ts AS DATE)
+    """,
+)
+def stream_days(t: Tables):
+    """The latest event of each user and day, kept up in a table stored by day."""
+    rows = _stream(t, "events").select("user_id", "ts", "event_id", "value")
+    target = scratch_path(t.spark, "latest-by-day")
+    table = DailyTable(t.spark, target, rows.schema, ["user_id"], "ts", order=["ts", "event_id"])
+    table.append_stream(rows, scratch_path(t.spark, "latest-by-day-state"))
+    return table.read()
+
+
 @query(
     "stream_guardrails",
     f"""

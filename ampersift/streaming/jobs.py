@@ -48,11 +48,22 @@ def drain(
         out = shape(batch) if shape else batch
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+    stream_batches(stream, checkpoint, store, mode)
+
+
+def stream_batches(
+    stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], object], mode: str = "append"
+) -> None:
+    """Hand everything available to ``step``, batch by batch, then stop."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        step(batch, number)
+
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(store)
+        .foreachBatch(take)
         .start()
     )
     query.awaitTermination()
