@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ampersift.functions.columns import cosine
 from ampersift.operators import experiments as ab
 from ampersift.operators import guardrails as gr
+from ampersift.operators import keyword
 from ampersift.operators import retrieval as rt
 from ampersift.operators import text
 from ampersift.plans import answering
@@ -331,33 +332,92 @@ def conversation_history(t: Tables):
     return text.conversation_history(t.conversations, text.last_user_turns(t.conversations))
 
 
-PROMPTS = f"""{MESSAGES}, lastq AS (SELECT conv_id, max(turn) AS turn FROM messages WHERE role = 'user' GROUP BY 1),
-  asked AS (SELECT m.conv_id, m.text, CAST(e.embedding AS DOUBLE[]) AS q FROM messages m JOIN lastq USING (conv_id, turn) JOIN embeddings e ON e.vec_id = m.conv_id WHERE m.role = 'user'),
-  {VERDICT}, ok AS (SELECT conv_id, q, text, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS b FROM verdicts WHERE violation IS NULL),
-  corpus AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, text AS chunk FROM embeddings JOIN documents ON doc_id = vec_id),
-  near AS (SELECT conv_id, chunk, row_number() OVER (PARTITION BY conv_id ORDER BY list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), doc_id) AS rank FROM ok, corpus),
-  ctx AS (SELECT conv_id, string_agg(chunk, chr(10) || chr(10) ORDER BY rank) AS context FROM near WHERE rank <= 3 GROUP BY 1)"""
+QTF = """qtf AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % %d AS b, count(*) AS c
+    FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+')) AS w FROM ok) GROUP BY 1, 2)""".replace("%d", str(DIMENSION))
+ASKED = """asked AS (SELECT m.conv_id, m.text FROM messages m JOIN (SELECT conv_id, max(turn) AS turn FROM messages WHERE role = 'user' GROUP BY 1) USING (conv_id, turn) WHERE m.role = 'user')"""
+DENSE = f"""body AS (SELECT doc_id AS id, text AS body FROM documents), fitted AS (SELECT count(*) AS n FROM body),
+  {_weights_sql('body')}, {_vectors_sql('chunk', 'body')}, {QTF}, {_vectors_sql('question', 'ok', 'qtf')},
+  gap AS (SELECT q.id, c.id AS chunk, list_sum(list_transform(list_zip(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM question q, chunk c),
+  near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, chunk) AS rank FROM gap)"""
+PROMPTS = f"""{MESSAGES}, {ASKED}, {VERDICT},
+  ok AS (SELECT conv_id AS id, text AS body, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS u FROM verdicts WHERE violation IS NULL),
+  {DENSE},
+  ctx AS (SELECT n.id, string_agg(b.body, chr(10) || chr(10) ORDER BY rank) AS context FROM near n JOIN body b ON b.id = n.chunk WHERE rank <= 3 GROUP BY 1)"""
 
 
 @query(
     "prepare_prompts",
     f"""
-    WITH {PROMPTS} SELECT conv_id AS query_id, CASE WHEN b <= 40 THEN 'control' WHEN b <= 60 THEN 'concise' WHEN b <= 80 THEN 'detailed' ELSE 'conversational' END AS variant_id,
-      length(context) + 2 + length(text) AS n, md5(context || chr(10) || chr(10) || text) AS digest FROM ok JOIN ctx USING (conv_id)
+    WITH {PROMPTS} SELECT id AS query_id, CASE WHEN u <= 40 THEN 'control' WHEN u <= 60 THEN 'concise' WHEN u <= 80 THEN 'detailed' ELSE 'conversational' END AS variant_id,
+      length(context) + 2 + length(body) AS n, md5(context || chr(10) || chr(10) || body) AS digest FROM ok JOIN ctx USING (id)
     """,
 )
 def prepare_prompts(t: Tables):
-    """Questions assigned, screened, retrieved for and turned into prompts."""
-    vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
+    """Questions assigned, screened, retrieved for and turned into prompts; all
+    documents and questions are embedded."""
+    texts = t.documents.select("doc_id", F.col("text").alias("chunk_text"))
+    weights = rt.bucket_weights(texts, "chunk_text", DIMENSION)
     asked = t.messages.filter("role = 'user'").withColumn("user_id", F.col("conv_id"))
-    live = asked.join(text.last_user_turns(t.messages), ["conv_id", "turn"]).join(vectors, "conv_id")
+    live = asked.join(text.last_user_turns(t.messages), ["conv_id", "turn"])
     screened = answering.screen_questions(live, "text").filter("admitted")
-    ready = screened.withColumn("query_id", F.col("conv_id"))
-    chunks = t.documents.join(_corpus(t), "doc_id").select("doc_id", "vector", F.col("text").alias("chunk_text"))
+    ready = rt.embed(screened.withColumn("query_id", F.col("conv_id")), weights).withColumnRenamed("embedding", "vector")
+    chunks = rt.embed(texts, weights, "chunk_text").withColumnRenamed("embedding", "vector")
     made = answering.prepare_prompts(ready, chunks)
     return made.select("query_id", "variant_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
 
 
+BM25 = f"""{MESSAGES}, {ASKED}, ok AS (SELECT conv_id AS id, text AS body FROM asked),
+  words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+  posts AS (SELECT term, doc_id, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM words) GROUP BY 1, 2),
+  corpus AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM words),
+  held AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
+  wanted AS (SELECT id, term, count(*) AS times FROM (SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ok) GROUP BY 1, 2),
+  weighed AS (SELECT id, term, times * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS weight FROM wanted JOIN held USING (term), corpus),
+  scored AS (SELECT id, doc_id, sum(CAST(round(weight * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * size / mean)), 12) AS DECIMAL(38, 12))) AS score
+    FROM posts JOIN weighed USING (term), corpus GROUP BY 1, 2),
+  keyword AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+
+
+def _last_questions(t: Tables):
+    asked = t.messages.filter("role = 'user'").join(text.last_user_turns(t.messages), ["conv_id", "turn"])
+    return asked.select(F.col("conv_id").alias("query_id"), "text")
+
+
+def _keyword_index(t: Tables) -> str:
+    path = scratch_path(t.spark, "keyword-index")
+    keyword.build_keyword_index(t.documents, path)
+    return path
+
+
+@query(
+    "bm25_topk",
+    f"WITH {BM25} SELECT id AS query_id, doc_id, CAST(rank AS INT) AS rank, {R('score')} AS score FROM keyword WHERE rank <= 10",
+)
+def bm25_topk(t: Tables):
+    """The last question of every conversation against the words of all documents."""
+    return rounded(keyword.bm25_topk(_last_questions(t), _keyword_index(t)), "score")
+
+
+@query(
+    "hybrid_fused",
+    f"""
+    WITH {BM25}, {DENSE},
+    legs AS (SELECT id, chunk AS doc_id, rank AS dense, NULL AS keyword FROM near WHERE rank <= 50 UNION ALL SELECT id, doc_id, NULL, rank FROM keyword WHERE rank <= 50),
+    fused AS (SELECT id, doc_id, min(dense) AS dense, min(keyword) AS keyword, sum(CAST(round(1 / CAST(60 + coalesce(dense, keyword) AS DOUBLE), 12) AS DECIMAL(38, 12))) AS score FROM legs GROUP BY 1, 2)
+    SELECT id AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS INT) AS rank, {R('score')} AS score,
+      CAST(dense AS INT) AS dense_rank, CAST(keyword AS INT) AS keyword_rank FROM fused QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) <= 10
+    """,
+)
+def hybrid_fused(t: Tables):
+    """Dense and keyword rankings of every last question over all documents, fused."""
+    texts = t.documents.select("doc_id", "text")
+    weights = rt.bucket_weights(texts, dimension=DIMENSION)
+    questions = _last_questions(t)
+    vectors = [rt.embed(df, weights).withColumnRenamed("embedding", "vector") for df in (questions, texts)]
+    dense = rt.knn_topk(*vectors, k=50)
+    return rounded(keyword.hybrid_search(questions, dense, _keyword_index(t)), "score")
+
+
 # What each variant puts before its context.
 STYLES = {
     "control": "Use these passages.\n{context}",
