@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import quoted
+from ampersift.operators.regression import walk_forward
 from ampersift.operators.sequences import forecast_calendar
 from ampersift.operators.stats import best_by, regression_metrics
 from ampersift.session import freeze
@@ -181,29 +182,13 @@ def walk_forward_eval(
     folds: DataFrame,
     features: Sequence[str],
     target: str,
+    ridge: float = 0.0,
 ) -> DataFrame:
     """RMSE per fold of a linear model trained on everything before the fold.
 
-    ``folds`` carries ``block`` and ``test_fold``. A fold without training rows
-    has no figures and says so; any other failure ends the job.
+    ``folds`` carries ``block`` and ``test_fold``. All folds are solved from the
+    running normal equations of their blocks. A fold without training rows has no
+    figures and says so; any other failure ends the job.
     """
-    # stored once, since every fold reads it
-    usable = freeze(folds.na.drop(subset=[*features, target]))
-    # as many rows as there are folds
-    numbers = [
-        r[0]
-        for r in usable.filter("test_fold is not null").select("test_fold").distinct().orderBy("test_fold").collect()
-    ]
-
-    def score(fold: int) -> tuple:
-        train = usable.filter(F.col("block") <= fold)
-        test = usable.filter(F.col("test_fold") == fold)
-        if train.isEmpty():
-            return int(fold), 0, None, None, "no training rows"
-        model = fit_regressor(train, features, target, "lr", regParam=0.01)
-        row = evaluate(model, test, target).select("n", "rmse", "mae").first()
-        return int(fold), int(row["n"]), float(row["rmse"]), float(row["mae"]), None
-
-    return folds.sparkSession.createDataFrame(
-        _side_by_side(score, numbers), "fold int, test_rows long, rmse double, mae double, error string"
-    )
+    made = walk_forward(folds, features, target, ridge=ridge)
+    return made.select(F.col("fold").cast("int").alias("fold"), "test_rows", "rmse", "mae", "error")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.operators import features as fe
-from ampersift.operators import models, sequences
-from ampersift.queries.registry import HOURLY, Tables, query, rounded
+from ampersift.operators import models, regression, sequences
+from ampersift.queries.registry import HOURLY, R, Tables, query, rounded
 
 INPUTS = ("hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "price_lag_1h", "price_lag_24h", "carbon", "wind")
 SMALL = {"numTrees": 10, "maxDepth": 4}
@@ -110,3 +110,26 @@ def walk_forward_eval(t: Tables):
     placed = sequences.walk_forward_folds(rows, "ts")
     made = models.walk_forward_eval(placed, ["price_lag_1h", "price_lag_24h", "hour_sin", "hour_cos", "carbon"], "price")
     return made.withColumn("rmse", F.round("rmse", 6))
+
+
+@query(
+    "walk_forward_line",
+    f"""
+    WITH {HOURLY}, l AS (SELECT series_id, ts, price, lag(price, 24) OVER (PARTITION BY series_id ORDER BY ts) AS x,
+      row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY series_id) AS n FROM hourly),
+    k AS (SELECT *, p // 168 AS block, CASE WHEN p // 168 >= 1 AND (p // 168 + 1) * 168 <= n THEN p // 168 - 1 END AS fold FROM l),
+    wanted AS (SELECT DISTINCT series_id, fold FROM k WHERE fold IS NOT NULL),
+    lines AS (SELECT w.series_id, w.fold, count(*) AS train_rows, regr_slope(price, x) AS slope, regr_intercept(price, x) AS intercept
+      FROM wanted w JOIN k ON k.series_id = w.series_id AND k.block <= w.fold WHERE x IS NOT NULL GROUP BY 1, 2)
+    SELECT series_id, CAST(fold AS BIGINT) AS fold, train_rows, count(*) AS test_rows, {R('any_value(slope)')} AS slope, {R('any_value(intercept)')} AS intercept,
+      {R('sqrt(avg((price - intercept - slope * x) ** 2))')} AS rmse, {R('avg(abs(price - intercept - slope * x))')} AS mae
+    FROM lines JOIN k USING (series_id, fold) WHERE x IS NOT NULL GROUP BY 1, 2, 3
+    """,
+)
+def walk_forward_line(t: Tables):
+    """Every series' price by that of the day before, refitted for each week."""
+    rows = fe.lag_features(t.hourly, {"price": [24]}, ts="ts")
+    placed = sequences.walk_forward_folds(rows, "ts")
+    made = regression.walk_forward(placed, ["price_lag_24h"], "price", by=["series_id"])
+    out = made.select("series_id", "fold", "train_rows", "test_rows", F.col("slopes")[0].alias("slope"), "intercept", "rmse", "mae")
+    return rounded(out, "slope", "intercept", "rmse", "mae")
