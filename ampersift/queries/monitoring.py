@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.operators import drift, rollups, sequences
+from ampersift.operators import guardrails as gr
 from ampersift.operators.stats import unpivot
-from ampersift.queries.registry import AB_LOG, HOURLY, R, Tables, query, rounded
+from ampersift.queries.registry import AB_LOG, HOURLY, LoggedStream, R, Tables, query, rounded
 from ampersift.queries.safety import VERDICT
 from ampersift.session import scratch_path
 from ampersift.sources.daily import DailyTable
-from ampersift.streaming import jobs
+from ampersift.streaming import jobs, stateful
 
 WINDOWS = """w AS (SELECT e.*, CASE WHEN ts >= m - INTERVAL 7 DAY THEN 'current'
     WHEN ts BETWEEN m - INTERVAL 37 DAY AND m - INTERVAL 8 DAY THEN 'reference' END AS side FROM events e, (SELECT max(ts) AS m FROM events)),
@@ -355,3 +356,93 @@ def stream_guardrails(t: Tables):
     asked = _stream(t, "documents").withColumn("at", at)
     jobs.violation_stream(asked, target, scratch_path(t.spark, "violations-state"), "text", "at")
     return jobs.read_sums(t.spark, target, ["window_start", "outcome"])
+
+
+# Violations of any kind and personal data, as two labels; thresholds a second and
+# seconds to hold. A document a minute is asked, so a violation in five minutes is
+# over the first threshold, and three in five minutes are over the second.
+RULES = {"violation": (0.002, 300), "pii": (0.008, 600)}
+LATE_SECONDS = 300
+
+
+def _document_inputs(documents):
+    """Documents as inputs, one a minute."""
+    return documents.withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
+
+
+@query(
+    "stream_alerts",
+    f"""
+    WITH asked AS (SELECT doc_id, text, 1704067200 + doc_id * 60 AS moment FROM documents), {VERDICT},
+    hit AS (SELECT 'violation' AS label, moment FROM verdicts WHERE violation IS NOT NULL UNION ALL SELECT 'pii', moment FROM verdicts WHERE violation = 'PII_DETECTED'),
+    rules AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE, {w})" for k, (v, w) in RULES.items())}) r(label, threshold, wait)),
+    ticks AS (SELECT label, moment // 30 AS k, count(*) AS n FROM hit GROUP BY 1, 2),
+    ev AS (SELECT label, k - i + 10 AS k2, sum(n) AS n FROM ticks, range(10) g(i) GROUP BY 1, 2),
+    hot AS (SELECT ev.*, wait, k2 - row_number() OVER (PARTITION BY label ORDER BY k2) AS isl FROM ev JOIN rules USING (label) WHERE n / 300.0::DOUBLE > threshold),
+    sp AS (SELECT label, min(k2) AS a, max(k2) AS z, any_value(wait) // 30 AS w FROM hot GROUP BY label, isl)
+    SELECT label, make_timestamp(a * 30000000) AS pending_from, make_timestamp((a + w) * 30000000) AS firing_from FROM sp
+    WHERE z - a >= w AND (a + w) * 30 <= (SELECT max(moment) - {LATE_SECONDS} FROM hit)
+    """,
+)
+def stream_alerts(t: Tables):
+    """Alerts on violations and personal data, fired by timers as the watermark moves."""
+    spark = stateful.stateful_session(t.spark)
+    asked = _document_inputs(_stream(Tables(spark, t.folder), "documents"))
+    verdicts = jobs.outcomes(gr.validate_input(asked, "text"), "at").filter("outcome <> 'PASSED'")
+    first = F.array(F.lit("violation"), F.when(F.col("outcome") == "PII_DETECTED", F.lit("pii")))
+    hits = verdicts.select("at", F.explode(F.array_compact(first)).alias("label"))
+    target = scratch_path(t.spark, "alerts")
+    jobs.drain(stateful.alert_stream(hits, RULES, "label", "at", late=f"{LATE_SECONDS} seconds"), target, scratch_path(t.spark, "alerts-state"))
+    return t.spark.read.parquet(target).drop("batch")
+
+
+@query(
+    "stream_sessions",
+    f"""
+    WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opened FROM events),
+    s AS (SELECT *, sum(opened) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events, {R('sum(value)')} AS value_sum FROM s GROUP BY user_id, k
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)
+    """,
+)
+def stream_sessions(t: Tables):
+    """Sessions that the watermark has closed, from merging windows."""
+    spark = stateful.stateful_session(t.spark)
+    target = scratch_path(t.spark, "sessions")
+    rows = _stream(Tables(spark, t.folder), "events").select("user_id", "ts", "value")
+    jobs.drain(stateful.session_stream(rows, ["user_id"], value="value"), target, scratch_path(t.spark, "sessions-state"))
+    return rounded(t.spark.read.parquet(target).drop("batch"), "value_sum")
+
+
+@query(
+    "stream_feedback",
+    f"""
+    WITH {AB_LOG}, fb AS (SELECT query, variant_id, result_id AS no, ts + INTERVAL 5 MINUTE AS given_at, CAST(result_id % 6 AS DOUBLE) AS score FROM ab WHERE tokens_input % 3 = 0),
+    met AS (SELECT f.no, f.score, arg_max(a.result_id, (a.ts, a.result_id)) AS result_id FROM fb f JOIN ab a ON a.query = f.query AND a.variant_id = f.variant_id
+      AND a.ts BETWEEN f.given_at - INTERVAL 30 DAY AND f.given_at GROUP BY 1, 2),
+    upd AS (SELECT result_id, arg_max(score, no) AS score FROM met GROUP BY 1)
+    SELECT result_id, query, variant_id, CAST(coalesce(upd.score, satisfaction_score) AS DOUBLE) AS satisfaction_score FROM ab LEFT JOIN upd USING (result_id)
+    """,
+)
+def stream_feedback(t: Tables):
+    """Feedback five minutes after a rated answer, joined with the answers as a
+    stream; each goes to the newest answer of its query and variant."""
+    spark = stateful.stateful_session(t.spark)
+    own = Tables(spark, t.folder)
+
+    def log():
+        rows = LoggedStream(own, _stream(own, "events")).ab_log
+        return rows.select("result_id", F.col("ts").alias("timestamp"), "query", "variant_id", "satisfaction_score", "tokens_input")
+
+    feedback = log().filter(F.col("tokens_input") % 3 == 0).select(
+        "query",
+        "variant_id",
+        F.col("result_id").alias("feedback_no"),
+        (F.col("timestamp") + F.expr("INTERVAL 5 MINUTES")).alias("given_at"),
+        (F.col("result_id") % 6).cast("double").alias("satisfaction_score"),
+    )
+    target = scratch_path(t.spark, "feedback")
+    stateful.feedback_stream(feedback, log().drop("satisfaction_score", "tokens_input"), target, scratch_path(t.spark, "feedback-state"), ["query", "variant_id"], within="30 days")
+    results = t.ab_log.select("result_id", F.col("ts").alias("timestamp"), "query", "variant_id", "satisfaction_score")
+    updated, _ = stateful.read_feedback(t.spark, target, results)
+    return updated.drop("timestamp")

@@ -31,6 +31,10 @@ class Tables:
         table = read_table(self.spark, self.folder, name)
         return spread(table) if name in TEXT_TABLES else table
 
+    @property
+    def events(self) -> DataFrame:
+        return read_table(self.spark, self.folder, "events")
+
     @property
     def hourly(self) -> DataFrame:
         """Events rolled up to one row per hour and type."""
@@ -80,6 +84,22 @@ class Tables:
         return self.conversations.withColumn("text", text)
 
 
+@dataclass(frozen=True)
+class LoggedStream(Tables):
+    """The same relations with the events as a stream."""
+
+    source: DataFrame
+
+    def __init__(self, tables: Tables, source: DataFrame):
+        object.__setattr__(self, "spark", tables.spark)
+        object.__setattr__(self, "folder", tables.folder)
+        object.__setattr__(self, "source", source)
+
+    @property
+    def events(self) -> DataFrame:
+        return self.source
+
+
 # Phrases appended to the conversation texts, so that every rule has hits.
 PHRASES = (
     "",
