@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import is_missing, quoted, ratio
-from ampersift.functions.pvalues import chi2_pvalue, kolmogorov_pvalue
+from ampersift.functions.pvalues import chi2_pvalue, kolmogorov_exact_pvalue, kolmogorov_pvalue
 from ampersift.operators.ordering import prefix_sums
 from ampersift.operators.stats import describe_numeric, unpivot
 
@@ -16,6 +16,8 @@ from ampersift.operators.stats import describe_numeric, unpivot
 P_LIMIT = 0.05
 DISTANCE_LIMIT = 0.1
 SMALL_SAMPLE = 1000
+# Pairs of rows up to which the KS p-value counts orders.
+EXACT_CELLS = 10_000
 DATASET_SHARE = 0.5
 
 
@@ -70,12 +72,15 @@ def numeric_drift(
     reference: str = "reference",
     small: int = SMALL_SAMPLE,
     method: str | None = None,
+    exact_cells: int = EXACT_CELLS,
 ) -> DataFrame:
     """KS and normed Wasserstein distance per column of a long (column, value) frame.
 
     Both come from one ordered pass over the counted distinct values and are
     always returned. ``method`` (ks or wasserstein) decides ``drifted``; without
-    one it is KS up to ``small`` reference rows, Wasserstein above.
+    one it is KS up to ``small`` reference rows, Wasserstein above. The KS p-value
+    is exact up to ``exact_cells`` pairs of rows (ties make it too large, never too
+    small), from the limit law above.
     """
     running = prefix_sums(
         _value_counts(long, side, reference), ["_v"], ["r", "c"], by=["column"], previous="_v"
@@ -106,7 +111,11 @@ def numeric_drift(
         (F.sqrt(ratio(n * m, n + m)) * F.col("ks_statistic")).alias("_root"),
         (F.col("_area") / F.greatest(F.coalesce("_std", F.lit(0.0)), F.lit(0.001))).alias("wasserstein"),
     )
-    out = out.withColumn("ks_pvalue", kolmogorov_pvalue(F.col("_root"))).drop("_root")
+    # nulls where the other law counts, so that neither is worked out twice
+    few = F.col("n_reference") * F.col("n_current") <= exact_cells
+    exact = kolmogorov_exact_pvalue(*[F.when(few, F.col(c)) for c in ("n_reference", "n_current", "ks_statistic")])
+    limit = kolmogorov_pvalue(F.when(~few, F.col("_root")))
+    out = out.withColumn("ks_pvalue", F.coalesce(exact, limit)).drop("_root")
     use_ks = _chosen(method, ("ks", "wasserstein"), small)
     return out.withColumns(
         {

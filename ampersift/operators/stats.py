@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import known, quoted, ratio
-from ampersift.functions.pvalues import f_pvalue, normal_pvalue, t_pvalue
+from ampersift.functions.pvalues import f_pvalue, mann_whitney_exact_pvalue, normal_pvalue, t_pvalue
 from ampersift.operators.ordering import exact_quantiles, prefix_sums
 from ampersift.operators.upserts import first_n
 
+# Values of a group up to which Mann-Whitney orders are counted.
+EXACT_GROUP = 50
+
 
 def moments(df: DataFrame, group: str, metric: str) -> DataFrame:
     """n, mean, sample and population variance of the known values per group."""
@@ -152,8 +155,9 @@ def effect_sizes(df: DataFrame, group: str, metric: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, metric: str, groups: Sequence[str]) -> DataFrame:
-    """Mann-Whitney U for every pair of ``groups``, with the tie-corrected
-    normal approximation (continuity-corrected).
+    """Mann-Whitney U for every pair of ``groups``. Two groups of ``EXACT_GROUP``
+    values at most without ties have the exact p-value, others that of the
+    tie-corrected normal approximation (continuity-corrected).
 
     Values are counted per group first; one ordered pass of running counts then
     gives all pairs: U_a sums, over the distinct values, the a-count times the
@@ -188,8 +192,10 @@ def mann_whitney(df: DataFrame, group: str, metric: str, groups: Sequence[str])
     n = n_a + n_b
     spread = F.sqrt(n_a * n_b / 12 * ((n + 1) - ratio(F.col("_ties"), n * (n - 1))))
     gap = F.abs(F.col("u_statistic") - n_a * n_b / 2)
-    out = one.withColumn("z", ratio(F.greatest(gap - 0.5, F.lit(0.0)), spread)).drop("_ties")
-    return _judged(out, normal_pvalue(F.col("z")))
+    few = (F.col("_ties") == 0) & (F.greatest("n_a", "n_b") <= EXACT_GROUP)
+    exact = mann_whitney_exact_pvalue(*[F.when(few, F.col(c)) for c in ("n_a", "n_b", "u_statistic")])
+    out = one.withColumn("z", ratio(F.greatest(gap - 0.5, F.lit(0.0)), spread)).withColumn("_exact", exact)
+    return _judged(out, F.coalesce("_exact", normal_pvalue(F.col("z")))).drop("_ties", "_exact")
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine
+from ampersift.operators import approximate
 from ampersift.operators import experiments as ab
 from ampersift.operators import guardrails as gr
 from ampersift.operators import keyword
@@ -13,7 +14,7 @@ from ampersift.operators import text
 from ampersift.plans import answering
 from ampersift.queries.registry import MESSAGES, R, Tables, query, r, rounded
 from ampersift.queries.safety import BLANK, VERDICT, quoted_sql
-from ampersift.session import scratch_path
+from ampersift.session import freeze, scratch_path
 from ampersift.sources import tables
 
 KEYWORDS = ("the", "und", "energy", "que", "Solar")
@@ -366,6 +367,34 @@ def prepare_prompts(t: Tables):
     return made.select("query_id", "variant_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
 
 
+@query(
+    "approximate_topk",
+    f"""
+    WITH {NEAREST}, hits AS (SELECT query_id, count(*) AS wanted, sum(d) AS total FROM ranked WHERE rank <= 10 GROUP BY 1)
+    SELECT CAST(query_id AS BIGINT) AS query_id, wanted, wanted AS found, TRUE AS measured_exactly, TRUE AS recall_reached, TRUE AS few_measured FROM hits
+    """,
+)
+def approximate_topk(t: Tables):
+    """Ten nearest of every label's mean through the bucket index, held against the
+    exact search: hits, their distances, the overall recall of 0.9, and that fewer
+    than all pairs were measured."""
+    path = scratch_path(t.spark, "vector-index")
+    approximate.build_vector_index(_corpus(t), path)
+    asked = freeze(_questions(t))
+    found = freeze(approximate.approximate_topk(asked, path, k=10))
+    exact = freeze(approximate.approximate_topk(asked, path, k=10, exact=True))
+    figures = approximate.recall(found, exact)
+    overall = figures.agg(F.sum("met") >= 0.9 * F.sum("wanted")).scalar()
+    measured = approximate.candidates(asked, path).agg(F.count(F.lit(1))).scalar()
+    pairs = t.embeddings.agg(F.count(F.lit(1)) * F.lit(1)).scalar() * asked.agg(F.count(F.lit(1))).scalar()
+    same = exact.select("query_id", "doc_id", F.col("distance").alias("_exact"))
+    checked = found.join(same, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("found"), F.bool_and(F.coalesce(F.abs(F.col("distance") - F.col("_exact")) < 1e-9, F.lit(True))).alias("measured_exactly")
+    )
+    out = figures.join(checked, "query_id")
+    return out.select("query_id", "wanted", "found", "measured_exactly", overall.alias("recall_reached"), (measured < pairs).alias("few_measured"))
+
+
 BM25 = f"""{MESSAGES}, {ASKED}, ok AS (SELECT conv_id AS id, text AS body FROM asked),
   words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
   posts AS (SELECT term, doc_id, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM words) GROUP BY 1, 2),

@@ -242,6 +242,29 @@ def ab_mann_whitney(t: Tables):
     return rounded(made, "z", "p_value")
 
 
+@query(
+    "ab_mann_whitney_exact",
+    f"""
+    WITH {AB_LOG}, days AS (SELECT max(CAST(ts AS DATE)) AS last FROM ab),
+    s AS (SELECT variant_id AS v, CAST(ts AS DATE) AS day, avg(latency) AS x FROM ab, days WHERE CAST(ts AS DATE) > last - 7 GROUP BY 1, 2),
+    u AS (SELECT a.v AS variant_a, b.v AS variant_b, count(DISTINCT a.day) AS n_a, count(DISTINCT b.day) AS n_b, CAST(sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS DOUBLE) AS u
+      FROM s a JOIN s b ON a.v < b.v GROUP BY 1, 2),
+    sizes AS (SELECT DISTINCT n_a, n_b FROM u),
+    orders AS (SELECT n_a, n_b, list_sum(list_transform(list_filter(range(0, n_a + n_b), lambda i: (mask >> i) & 1 = 1), lambda i: i + 1)) - n_a * (n_a + 1) // 2 AS w
+      FROM sizes, (SELECT unnest(range(0, 16384)) AS mask) WHERE mask < 1 << (n_a + n_b) AND bit_count(mask) = n_a),
+    tails AS (SELECT variant_a, variant_b, n_a, n_b, u, least(1, 2.0::DOUBLE * least(count(*) FILTER (w <= u), count(*) FILTER (w >= u)) / count(*)) AS p FROM u JOIN orders USING (n_a, n_b) GROUP BY 1, 2, 3, 4, 5)
+    SELECT variant_a, variant_b, n_a, n_b, u AS u_statistic, {R('p')} AS p_value, p < 0.05 AS significant FROM tails
+    """,
+)
+def ab_mann_whitney_exact(t: Tables):
+    """Mean latencies of the last seven days by variant, seven against seven."""
+    log = t.ab_log
+    last = log.agg(F.to_date(F.max("ts"))).scalar()
+    daily = log.filter(F.to_date("ts") > F.date_sub(last, 7)).groupBy("variant_id", F.to_date("ts").alias("day")).agg(F.avg("latency").alias("latency"))
+    made = stats.mann_whitney(daily, "variant_id", "latency", VARIANTS)
+    return rounded(made, "p_value").drop("z")
+
+
 @query(
     "feedback_upsert",
     f"""
