@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import as_col, quoted
@@ -85,6 +85,51 @@ def chunk_recursive(
     )
 
 
+class Chunk:
+    """Handler of the table function ``chunk(text, size, overlap)``."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str, int]]:
+        for pos, piece in enumerate(split_recursive(text, size, overlap) if text else []):
+            yield pos, piece, len(piece)
+
+
+def register_chunk(spark: SparkSession, name: str = "chunk") -> None:
+    """Make recursive chunking callable from SQL, rows passing in Arrow batches:
+
+    ``SELECT d.doc_id, c.* FROM documents d, LATERAL chunk(d.text, 1000, 200) c``
+    """
+    made = F.udtf(Chunk, returnType="chunk_pos int, chunk_text string, chunk_size int", useArrow=True)
+    spark.udtf.register(name, made.asDeterministic())
+
+
+def chunk_coverage(df: DataFrame, text: str, chunks: str) -> DataFrame:
+    """``df`` with ``in_text`` and ``complete``: whether the array ``chunks`` holds
+    parts of the text, and whether one after the other they cover it but for white
+    space."""
+    t = quoted(text)
+    blank = r"^[\s\x1c-\x1f\x85\p{Z}]*"
+    state = F.struct(F.lit(0).alias("end"), F.lit(True).alias("in_text"), F.lit(True).alias("complete"))
+
+    def step(acc: Column, chunk: Column) -> Column:
+        # white space behind what is covered; a chunk that starts later leaves a gap
+        skip = F.length(F.regexp_extract(t.substr(acc["end"] + 1, F.length(t)), blank, 0))
+        size = F.length(chunk)
+        head = t.substr(F.lit(1), acc["end"] + skip + size)
+        # its last place without a gap covers most, also in a text that repeats itself
+        back = F.position(F.reverse(chunk), F.reverse(head))
+        end = F.length(head) - back + 1
+        return F.struct(
+            F.when(back > 0, F.greatest(acc["end"], end)).otherwise(acc["end"]).alias("end"),
+            (acc["in_text"] & t.contains(chunk)).alias("in_text"),
+            (acc["complete"] & (back > 0)).alias("complete"),
+        )
+
+    walked = F.aggregate(quoted(chunks), state, step)
+    rest = t.substr(F.col("_w.end") + 1, F.length(t))
+    out = df.withColumn("_w", walked)
+    return out.withColumns({"in_text": F.col("_w.in_text"), "complete": F.col("_w.complete") & rest.rlike(blank + "$")}).drop("_w")
+
+
 def chunk_fixed(
     df: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:

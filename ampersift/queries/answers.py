@@ -106,6 +106,27 @@ def hash_embed(t: Tables):
     return made.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
+@query(
+    "chunk_function",
+    """
+    SELECT doc_id, TRUE AS same_rows, TRUE AS short, TRUE AS in_text, TRUE AS complete FROM documents
+    WHERE NOT regexp_full_match(coalesce(text, ''), '[\\s\\x1c-\\x1f\\x{0085}\\p{Z}]*')
+    """,
+)
+def chunk_function(t: Tables):
+    """Chunks from the SQL table function: the rows of the operator, none longer than
+    its size, all from their text, and nothing of a text lost."""
+    text.register_chunk(t.spark)
+    texts = t.documents.select("doc_id", "text")
+    made = t.spark.sql("SELECT d.doc_id, d.text, c.* FROM {docs} d, LATERAL chunk(d.text, 1000, 200) c", docs=texts)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_pos", "chunk_text"))), lambda c: c["chunk_text"])
+    by_text = made.groupBy("doc_id", "text").agg(listed.alias("chunks"), F.max("chunk_size").alias("longest"))
+    own = text.chunk_recursive(texts).groupBy("doc_id").agg(listed.alias("_own"))
+    checked = text.chunk_coverage(by_text.join(own, "doc_id", "full"), "text", "chunks")
+    same = F.coalesce(F.col("chunks") == F.col("_own"), F.lit(False))
+    return checked.select("doc_id", same.alias("same_rows"), (F.col("longest") <= 1000).alias("short"), "in_text", "complete")
+
+
 @query("index_build")
 def index_build(t: Tables):
     """Recursive chunks with vectors, stored and described."""

@@ -133,3 +133,27 @@ def test_exposition_lines(spark):
         ("rmse", "No description available", "rmse 0.5"),
         ("rmse", "Root Mean Squared Error of predictions", "rmse 0.25"),
     ]
+
+
+def test_chunk_function_in_sql(spark):
+    texts = ["", None, "  \n ", "short", "a. b. c\n\n" * 300, "x" * 2500, "word " * 900, "é ü. " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text.register_chunk(spark)
+    made = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk(d.text, 300, 50) c", docs=docs)
+    want = text.chunk_recursive(docs, size=300, overlap=50).select("doc_id", "chunk_pos", "chunk_text", "chunk_size")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.count() > 20
+
+
+def test_chunk_coverage_sees_what_is_lost(spark):
+    rows = [
+        (1, "one two three", ["one two", "two three"], True, True),
+        (2, "one two three", ["one", "three"], True, False),
+        (3, "one two three", ["three", "four"], False, False),
+        (4, " one\n\ntwo ", ["one", "two"], True, True),
+        (5, "one two", ["one"], True, False),
+        (6, "aaa aaa aaa", ["aaa", "aaa", "aaa"], True, True),
+        (7, "one two three", ["three", "one two"], True, False),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, chunks array<string>")
+    got = {r["doc_id"]: (r["in_text"], r["complete"]) for r in text.chunk_coverage(df, "text", "chunks").collect()}
+    assert got == {r[0]: r[3:] for r in rows}
