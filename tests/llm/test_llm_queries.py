@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from ampersift.llm import decontaminate, queries
 
-TABLES = "documents benchmark conversations labels"
+TABLES = "documents benchmark conversations labels embeddings"
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
