@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampersift.operators import experiments as ab
-from ampersift.operators import stats, text, upserts
+from ampersift.operators import sketches, stats, text, upserts
 from ampersift.queries.registry import AB_LOG, HOURLY, R, Tables, query, r, rounded
+from ampersift.session import scratch_path
 
 VARIANTS = ("control", "concise", "detailed", "conversational")
 
@@ -416,6 +417,30 @@ def latency_percentiles(t: Tables):
     return rounded(stats.latency_percentiles(t.ab_log, "latency", ["variant_id"]), "p50", "p95", "p99")
 
 
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "latency_sketches",
+    f"""
+    WITH {AB_LOG} SELECT variant_id, count(latency) AS n, TRUE AS p50, TRUE AS p95, TRUE AS p99 FROM ab WHERE latency IS NOT NULL GROUP BY 1
+    """,
+)
+def latency_sketches(t: Tables):
+    """Latency sketches of five minutes, stored and merged per variant: whether the
+    rank of each estimate among all latencies is within the bound."""
+    path = scratch_path(t.spark, "latency-sketches")
+    sketches.quantile_sketches(t.ab_log, "latency", ["variant_id"]).write.parquet(path)
+    merged = sketches.merge_sketches(t.spark.read.parquet(path), ["variant_id"])
+    guessed = sketches.sketch_quantiles(merged, SHARES)
+    both = t.ab_log.select("variant_id", "latency").join(guessed, "variant_id")
+    # an estimate is a value: its rank lies between the shares below and up to it
+    below = {k: F.avg((F.col("latency") < F.col(k)).cast("double")) for k in SHARES}
+    up_to = {k: F.avg((F.col("latency") <= F.col(k)).cast("double")) for k in SHARES}
+    close = [((below[k] <= p + sketches.RANK_ERROR) & (up_to[k] >= p - sketches.RANK_ERROR)).alias(k) for k, p in SHARES.items()]
+    return both.groupBy("variant_id", "n").agg(*close)
+
+
 @query(
     "category_crosstab",
     f"""
