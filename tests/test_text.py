@@ -1,5 +1,7 @@
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,26 @@ def test_chunk_coverage_sees_what_is_lost(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, chunks array<string>")
     got = {r["doc_id"]: (r["in_text"], r["complete"]) for r in text.chunk_coverage(df, "text", "chunks").collect()}
     assert got == {r[0]: r[3:] for r in rows}
+
+
+def test_a_worker_gets_batches_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def batch_size(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    long_texts = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("abcdefgh"), 250_000).alias("text"))
+    # 48 MB in all
+    assert long_texts.select(batch_size("text").alias("n")).agg(F.max("n")).first()[0] <= 16_000_000
+
+
+def test_chunk_function_moves_no_text_with_each_chunk(spark, tmp_path):
+    from ampersift.queries import answers
+    from ampersift.queries.registry import QUERIES
+
+    rows = [(1, "a b. " * 700), (2, ""), (3, None), (4, "x" * 2500), (5, " \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = QUERIES["chunk_function"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in made.collect()) == [(i, True, True, True, True) for i in (1, 4)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert keys and not any("text#" in k for k in keys)
