@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -236,6 +236,94 @@ def late_rows(stream: DataFrame, target: str, checkpoint: str, ts: str = "ts", l
 # --- feedback -------------------------------------------------------------------
 
 
+_PENDING = "made array<bigint>, ties array<bigint>, results array<string>, given array<bigint>, feedback array<string>, met array<bigint>"
+_MATCHES = "feedback string, result string"
+_NEVER = -(1 << 62)
+
+
+class LatestBefore(StatefulProcessor):
+    """Follows the results and the open feedback of one key.
+
+    A feedback comes out beside the latest result at hand, again when a later one has
+    come in, and with none once the watermark has passed its time. Of results of the
+    same time it meets the one with the greatest tie, or all, if ``all_ties``. Kept are the feedback and results that it has not
+    passed, and of the results before it the latest alone, since no other can be
+    the latest before any feedback to come.
+    """
+
+    def __init__(self, within: int, all_ties: bool):
+        self.within, self.all_ties = within, all_ties
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pending", _PENDING)
+
+    def _read(self) -> list[list]:
+        return [list(x or []) for x in self.state.get()] if self.state.exists() else [[], [], [], [], [], []]
+
+    def _settle(self, made, ties, results, given, feedback, met, passed: int) -> pd.DataFrame:
+        """Keep what is still open, set a timer, and say which feedback stays without a result."""
+        over, passed_by = given < passed, np.searchsorted(made, passed, "right")
+        lost = feedback[over & (met == _NEVER)]
+        first = np.searchsorted(made, made[passed_by - 1], "left") if passed_by else 0
+        if passed_by and made[passed_by - 1] < passed - self.within:
+            first = passed_by
+        held = [made[first:], ties[first:], results[first:], given[~over], feedback[~over], met[~over]]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        if len(held[0]) or len(held[3]):
+            self.state.update(tuple(x.tolist() for x in held))
+            end = int(held[3].min()) if len(held[3]) else int(held[0].max()) + self.within
+            self.handle.registerTimer(end // 1000 + 1)
+        elif self.state.exists():
+            self.state.clear()
+        return pd.DataFrame({"feedback": pd.Series(lost, dtype=object), "result": pd.Series([None] * len(lost), dtype=object)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        made, ties, results, given, feedback, met = self._read()
+        old_results, old_feedback = len(made), len(given)
+        for frame in rows:
+            told = frame["feedback"].notna().to_numpy()
+            at, f, r = frame["at"].to_numpy(), frame["feedback"].to_numpy(), frame["result"].to_numpy()
+            given += at[told].tolist()
+            feedback += f[told].tolist()
+            # a missing key equals none
+            if all(k is not None and k == k for k in key):
+                made += at[~told].tolist()
+                results += r[~told].tolist()
+                ties += frame["tie"].to_numpy()[~told].tolist()
+        met += [_NEVER] * (len(given) - old_feedback)
+        fresh = np.arange(len(made)) >= old_results
+        made, ties, given, met = (np.array(x, np.int64) for x in (made, ties, given, met))
+        results, feedback = (np.array([*x, None], object)[:-1] for x in (results, feedback))
+        order = np.lexsort((ties, made))
+        made, ties, results, fresh = made[order], ties[order], results[order], fresh[order]
+        high = np.searchsorted(made, given, "right")
+        last = np.append(made, _NEVER)[high - 1]
+        found = (high > 0) & (last >= given - self.within) & (last >= met)
+        low = np.searchsorted(made, last, "left") if self.all_ties else high - 1
+        size = np.where(found, high - low, 0)
+        note = np.repeat(np.arange(len(given)), size)
+        place = np.arange(len(note)) - np.repeat(np.cumsum(size) - size, size) + low[note]
+        new = fresh[place] | (last[note] > met[note])
+        met = np.where(found, last, met)
+        yield pd.DataFrame({"feedback": feedback[note[new]], "result": results[place[new]]})
+        yield self._settle(made, ties, results, given, feedback, met, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        made, ties, results, given, feedback, met = self._read()
+        made, ties, given, met = (np.array(x, np.int64) for x in (made, ties, given, met))
+        results, feedback = (np.array([*x, None], object)[:-1] for x in (results, feedback))
+        yield self._settle(made, ties, results, given, feedback, met, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+# Rows wait in the state as JSON, with times to the microsecond.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def feedback_matches(
     feedback: DataFrame,
     results: DataFrame,
@@ -244,22 +332,44 @@ def feedback_matches(
     ts: str = "timestamp",
     within: str = "1 hour",
     late: str = "10 minutes",
+    tie: str = "result_id",
 ) -> DataFrame:
-    """Each feedback beside the results of its keys in the time ``within`` before it.
-
-    Both sides have a watermark of ``late``, so that results are forgotten once no
-    feedback can reach them. A feedback that has met none comes out with nulls
-    after its time has passed. Result columns have the prefix ``result_``.
+    """Each feedback beside the latest result of its keys in the time ``within`` before it.
+
+    Both sides have a watermark of ``late``. A feedback comes out as soon as it has
+    met a result, and again when a later one arrives; one that has met none comes
+    out with nulls after its time has passed. Pairs with the results before the
+    latest are not made: their number grows with the square of a key's rows. Of
+    results of the same time the one with the greatest whole number ``tie`` counts;
+    without such a column all of them come out. Result columns have the prefix
+    ``result_``.
     """
-    # state and join work on zoned times
-    left = timed(feedback, given_at, late, "_given")
-    right = timed(results, ts, late, "_made").withColumnsRenamed({c: f"result_{c}" for c in results.columns})
-    same = [F.col(f"`{k}`") == F.col(f"`result_{k}`") for k in keys]
-    near: Column = (F.col("_made") <= F.col("_given")) & (F.col("_made") >= F.col("_given") - F.expr(f"INTERVAL {within}"))
-    for s in same:
-        near = near & s
-    kept = [quoted(c) for c in feedback.columns]
-    return left.join(right, near, "left_outer").select(*kept, *[quoted(f"result_{c}") for c in results.columns])
+    whole = dict(results.dtypes).get(tie) in ("tinyint", "smallint", "int", "bigint")
+    told = timed(feedback, given_at, late, "_at").select(
+        *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        "_at",
+        F.to_json(F.struct(*[quoted(c) for c in feedback.columns]), _JSON).alias("feedback"),
+        F.lit(None).cast("string").alias("result"),
+        F.lit(_NEVER).alias("tie"),
+    )
+    made = timed(results, ts, late, "_at").select(
+        *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        "_at",
+        F.lit(None).cast("string").alias("feedback"),
+        F.to_json(F.struct(*[quoted(c) for c in results.columns]), _JSON).alias("result"),
+        (F.coalesce(quoted(tie).cast("long"), F.lit(_NEVER)) if whole else F.lit(_NEVER)).alias("tie"),
+    )
+    both = told.unionByName(made).filter(F.col("_at").isNotNull()).withColumn("at", F.unix_micros("_at"))
+    found = both.groupBy(*[f"_k{i}" for i in range(len(keys))]).transformWithStateInPandas(
+        statefulProcessor=LatestBefore(int(pd.Timedelta(within).total_seconds() * MICROS_PER_SECOND), not whole),
+        outputStructType=_MATCHES,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    read = found.select(*[F.from_json(n, df.schema, _JSON).alias(n) for n, df in (("feedback", feedback), ("result", results))])
+    return read.select(
+        *[F.col(f"feedback.`{c}`").alias(c) for c in feedback.columns], *[F.col(f"result.`{c}`").alias(f"result_{c}") for c in results.columns]
+    )
 
 
 def feedback_stream(

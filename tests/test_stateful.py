@@ -123,3 +123,27 @@ def test_feedback_meets_the_latest_result_or_is_kept(spark, own, tmp_path):
     assert {r["result_id"]: r["satisfaction_score"] for r in updated.collect()} == {1: 0.0, 2: 5.0, 3: 0.0, 4: 0.0, 5: 1.5}
     # before its result, too long after it, and of no result at all
     assert sorted(r["feedback_no"] for r in lost.collect()) == [3, 4, 5]
+
+
+def test_feedback_makes_one_row_for_its_latest_result(spark, own, tmp_path):
+    made = "result_id long, timestamp timestamp_ntz, query string, variant_id string"
+    told = "query string, variant_id string, feedback_no long, given_at timestamp_ntz, satisfaction_score double"
+    results, feedback = Feed(own, tmp_path / "r", made), Feed(own, tmp_path / "f", told)
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    run = lambda: stateful.feedback_stream(feedback.stream, results.stream, target, state, ["query", "variant_id"])
+    stored = [(i, at(i), "q", "a") for i in range(200)] + [((1 << 60) + 1, at(150), "q", "a"), (1 << 60, at(150), "q", "a"), (301, at(170), None, "a")]
+    results.add(stored)
+    feedback.add([("q", "a", n, at(50 + n), float(n)) for n in range(200)] + [(None, "a", 900, at(180), 1.0)])
+    run()
+    met = lambda: [(r["feedback_no"], r["result_result_id"]) for r in spark.read.parquet(target).filter("result_result_id IS NOT NULL").collect()]
+    want = [(n, (1 << 60) + 1 if n == 100 else min(50 + n, 199)) for n in range(200)]
+    # not a row for every earlier result
+    assert sorted(met()) == sorted(want)
+    # a later result that comes in after its feedback
+    results.add([(400, at(240) + timedelta(microseconds=7), "q", "a"), (500, at(90_000), "z", "z")])
+    feedback.add([("z", "z", 901, at(90_001), 2.0)])
+    run()
+    run()
+    later = [(n, 400) for n in range(191, 200)] + [(901, 500)]
+    assert sorted(met()) == sorted(want + later)
+    assert [r[0] for r in spark.read.parquet(target).filter("result_result_id IS NULL").select("feedback_no").collect()] == [900]
