@@ -17,34 +17,73 @@ from ampersift.session import small_side
 
 # Most query vectors carried to the tasks in one closure (2,048 x 384 doubles = 6 MB).
 BLOCK_ROWS = 2048
-# Sizes of a block and a shard that meet in one task (16,384 + 50,000 vectors of
-# 384 doubles = 200 MB); the corpus is copied once per block.
-PAIR_ROWS = 16_384
+# Sizes of a block and a shard that meet in one task (65,536 + 50,000 vectors of
+# 384 floats = 180 MB); the corpus is copied once per block. A small corpus is cut
+# into two shards a core, of LEAST_SHARD rows at least.
+PAIR_ROWS = 65_536
 SHARD_ROWS = 50_000
-_STRIP_ROWS = 256  # queries measured at a time, which bounds the distance matrix
+LEAST_SHARD = 4096
+# Queries and vectors measured at a time, and pairs measured again at a time: what
+# a task needs beside its two matrices does not depend on their sizes.
+_STRIP_ROWS, _TILE_ROWS, _AGAIN = 256, 4096, 65_536
 _MERGE_LANES = 64
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(rows, -1)
+    made = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return made.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _closest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Per query the positions and squared distances of the k nearest, ties by id."""
+def _square_sums(m: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", m, m)
+
+
+def _closest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, position, squared distance) of the k nearest of every query, ties
+    by id; in order of the queries, nearest first."""
     k = min(k, len(ids))
-    lengths = (vectors * vectors).sum(1)
+    longest = max((float(np.abs(m).max()) for m in (queries, vectors) if m.size), default=0.0)
+    # rough distances in single precision, unless their squares do not fit
+    kind = np.float32 if longest < 1e15 else np.float64
+    rough = vectors.astype(kind, copy=False)
+    lengths = _square_sums(rough)
+    found = []
     for first in range(0, len(queries), _STRIP_ROWS):
         strip = queries[first : first + _STRIP_ROWS]
-        gaps = (strip * strip).sum(1)[:, None] + lengths[None, :] - 2.0 * strip @ vectors.T
+        near = strip.astype(kind)
+        own = _square_sums(near)
         # the expanded form loses digits, so everything close to the limit is measured again
-        slack = 1e-9 * (1.0 + lengths.max())
-        for row, near in enumerate(gaps):
-            spots = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + slack)
-            exact = ((vectors[spots] - strip[row]) ** 2).sum(1)
-            best = np.lexsort((ids[spots], exact))[:k]
-            yield first + row, spots[best], exact[best]
+        slack = 8 * (strip.shape[1] + 4) * np.finfo(kind).eps * (own + float(lengths.max()) + 1)
+        limit = np.full(len(strip), np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for at in range(0, len(vectors), _TILE_ROWS):
+            gaps = near @ rough[at : at + _TILE_ROWS].T
+            gaps *= -2
+            gaps += own[:, None]
+            gaps += lengths[None, at : at + _TILE_ROWS]
+            if not at and gaps.shape[1] >= k:
+                limit = np.partition(gaps, k - 1, axis=1)[:, k - 1] + slack
+            rows, spots = np.nonzero(gaps <= limit[:, None].astype(kind))
+            for a in range(0, len(rows), _AGAIN):
+                r, c = rows[a : a + _AGAIN], spots[a : a + _AGAIN] + at
+                exact = ((vectors[c].astype(np.float64) - strip[r].astype(np.float64)) ** 2).sum(1)
+                best = _first_k(*(np.concatenate(x) for x in zip(best, (r, c, exact), strict=True)), ids, k)
+            full = np.bincount(best[0], minlength=len(strip)) >= k
+            last = np.cumsum(np.bincount(best[0], minlength=len(strip))) - 1
+            limit = np.where(full, best[2][np.maximum(last, 0)] + slack, limit) if len(best[0]) else limit
+        found.append((best[0] + first, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _first_k(rows: np.ndarray, spots: np.ndarray, gaps: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of every row by distance and id, sorted."""
+    order = np.lexsort((ids[spots], gaps, rows))
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+    kept = order[rank < k]
+    return rows[rank < k], spots[kept], gaps[kept]
 
 
 def _measurable(df: DataFrame, queries: DataFrame) -> DataFrame:
@@ -72,26 +111,23 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
 def _carried(queries: pd.DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """One pass over the corpus with the query block inside the closure."""
     q_ids = queries["query_id"].to_numpy()
-    q_mat = np.array(queries["vector"].tolist(), dtype=np.float64)
+    q_mat = np.array(queries["vector"].tolist())
     schema = pa.schema(
         [("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, spots, gaps in _closest(q_mat, _matrix(batch.column("vector")), ids, k):
-                kept = best.get(row, []) + list(zip(gaps.tolist(), ids[spots].tolist()))
-                best[row] = sorted(kept)[:k]
-        found = [(q_ids[row], doc, gap) for row, hits in best.items() for gap, doc in hits]
-        if found:
-            q, d, g = zip(*found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(g, pa.float64())], schema=schema
-            )
+            rows, spots, gaps = _closest(q_mat, _matrix(batch.column("vector")), ids, k)
+            rows, ids, gaps = (np.concatenate(x) for x in zip(best, (rows, ids[spots], gaps), strict=True))
+            rows, spots, gaps = _first_k(rows, np.arange(len(ids)), gaps, ids, k)
+            best = rows, ids[spots], gaps
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]], pa.int64()), *map(pa.array, best[1:])], schema=schema)
 
     partial = corpus.mapInArrow(scan, "query_id long, doc_id long, distance double")
     return partial.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(_MERGE_LANES)))
@@ -106,26 +142,21 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, blocks: int, shards:
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "doc_id", "distance", "lane"]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in columns})
-        ids = right["doc_id"].to_numpy()
-        vectors = np.array(right["vector"].tolist(), dtype=np.float64)
-        wanted = np.array(left["vector"].tolist(), dtype=np.float64)
-        q_ids = left["query_id"].to_numpy()
-        lane = int(right["shard"].iloc[0]) % _MERGE_LANES
-        rows = [
-            (q_ids[row], ids[s], g, lane)
-            for row, spots, gaps in _closest(wanted, vectors, ids, k)
-            for s, g in zip(spots, gaps)
-        ]
-        return pd.DataFrame(rows, columns=columns)
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            found, lane = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), 0
+        else:
+            ids, lane = right["doc_id"].to_numpy(), right["shard"][0].as_py() % _MERGE_LANES
+            rows, spots, gaps = _closest(_matrix(left["vector"]), _matrix(right["vector"]), ids, k)
+            found = left["query_id"].to_numpy()[rows], ids[spots], gaps
+        return pa.Table.from_arrays(
+            [*map(pa.array, found), pa.array(np.full(len(found[0]), lane, np.int32))], names=["query_id", "doc_id", "distance", "lane"]
+        )
 
     return (
         q.groupBy("block", "shard")
         .cogroup(c.groupBy("block", "shard"))
-        .applyInPandas(search, "query_id long, doc_id long, distance double, lane int")
+        .applyInArrow(search, "query_id long, doc_id long, distance double, lane int")
     )
 
 
@@ -162,7 +193,8 @@ def knn_topk(
         partial = _carried(head, c, k)
     else:
         blocks = -(-q.count() // pair_rows)
-        shards = max(1, -(-c.count() // shard_rows))
+        rows = c.count()
+        shards = max(1, -(-rows // shard_rows), min(2 * c.sparkSession.sparkContext.defaultParallelism, rows // LEAST_SHARD))
         partial = _blocked(q, c, k, blocks, shards)
     ranked = _merge(partial, k).withColumn("score", similarity(F.col("distance")))
     return ranked.filter(F.col("score") >= score_threshold) if score_threshold else ranked

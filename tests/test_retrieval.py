@@ -126,3 +126,26 @@ def test_questions_meet_a_stored_index(spark, tmp_path):
     start, passages = made[0].prompt.removesuffix("\n\nzebra quagga").split(" says ")
     assert start == made[0].variant_id and "zebra quagga" in passages
     assert len(set(passages.split("\n\n"))) == 2
+
+
+def test_a_search_needs_no_more_memory_for_a_larger_shard():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    queries, vectors = rng.normal(size=(512, 8)).astype(np.float32), rng.normal(size=(60_000, 8)).astype(np.float32)
+    vectors[1000:60_000:2] = vectors[0]
+    tracemalloc.start()
+    rows, spots, gaps = rt._closest(queries, vectors, np.arange(60_000)[::-1].copy(), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for q in (0, 511):
+        exact = ((vectors.astype(np.float64) - queries[q].astype(np.float64)) ** 2).sum(1)
+        want = np.lexsort((np.arange(60_000)[::-1], exact))[:3]
+        assert spots[rows == q].tolist() == want.tolist() and gaps[rows == q].tolist() == exact[want].tolist()
+
+
+def test_large_numbers_and_few_vectors():
+    vectors = np.array([[1e20, 0.0], [0.0, 1e20], [2e20, 0.0]])
+    rows, spots, _ = rt._closest(np.array([[1.1e20, 0.0]]), vectors, np.array([5, 4, 3]), 9)
+    assert rows.tolist() == [0, 0, 0] and spots.tolist() == [0, 2, 1]
