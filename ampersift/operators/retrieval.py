@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine, quoted, similarity
+from ampersift.functions.words import letters, word_columns, words_of
 from ampersift.session import small_side
 
 # Most query vectors carried to the tasks in one closure (2,048 x 384 doubles = 6 MB).
@@ -25,8 +27,10 @@ SHARD_ROWS = 50_000
 LEAST_SHARD = 4096
 # Queries and vectors measured at a time, and pairs measured again at a time: what
 # a task needs beside its two matrices does not depend on their sizes.
-_STRIP_ROWS, _TILE_ROWS, _AGAIN = 256, 4096, 65_536
+_STRIP_ROWS, _TILE_ROWS, _AGAIN = 256, 4096, 16_384
 _MERGE_LANES = 64
+# Words whose buckets a task remembers.
+_KNOWN_WORDS = 500_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -53,26 +57,37 @@ def _closest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int)
         strip = queries[first : first + _STRIP_ROWS]
         near = strip.astype(kind)
         own = _square_sums(near)
-        # the expanded form loses digits, so everything close to the limit is measured again
-        slack = 8 * (strip.shape[1] + 4) * np.finfo(kind).eps * (own + float(lengths.max()) + 1)
+        # the expanded form loses digits, n roundings of what is added up at most on each of the two
+        # sides that are compared, and some more; everything close to the limit is measured again
+        slack = 3 * (strip.shape[1] + 8) * np.finfo(kind).eps * (own + float(lengths.max()) + np.finfo(kind).tiny)
+        near *= -2
         limit = np.full(len(strip), np.inf)
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held, kept, open_ = [], 0, 0
         for at in range(0, len(vectors), _TILE_ROWS):
+            # squared distances less ``own``
             gaps = near @ rough[at : at + _TILE_ROWS].T
-            gaps *= -2
-            gaps += own[:, None]
             gaps += lengths[None, at : at + _TILE_ROWS]
             if not at and gaps.shape[1] >= k:
                 limit = np.partition(gaps, k - 1, axis=1)[:, k - 1] + slack
-            rows, spots = np.nonzero(gaps <= limit[:, None].astype(kind))
-            for a in range(0, len(rows), _AGAIN):
-                r, c = rows[a : a + _AGAIN], spots[a : a + _AGAIN] + at
-                exact = ((vectors[c].astype(np.float64) - strip[r].astype(np.float64)) ** 2).sum(1)
-                best = _first_k(*(np.concatenate(x) for x in zip(best, (r, c, exact), strict=True)), ids, k)
-            full = np.bincount(best[0], minlength=len(strip)) >= k
-            last = np.cumsum(np.bincount(best[0], minlength=len(strip))) - 1
-            limit = np.where(full, best[2][np.maximum(last, 0)] + slack, limit) if len(best[0]) else limit
-        found.append((best[0] + first, best[1], best[2]))
+            flat = np.flatnonzero(gaps <= limit.astype(kind)[:, None])
+            rows, spots = np.divmod(flat, gaps.shape[1])
+            held.append((rows, spots + at, gaps.ravel()[flat]))
+            open_ += len(flat)
+            if open_ > kept + _AGAIN or at + _TILE_ROWS >= len(vectors):
+                rows, spots, gaps = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((gaps, rows))
+                ends = np.cumsum(np.bincount(rows, minlength=len(strip)))
+                last = np.diff(ends, prepend=0) - k
+                limit = np.where(last >= 0, gaps[order[np.maximum(ends - 1 - last, 0)]] + slack, limit) if len(rows) else limit
+                near_ = np.flatnonzero(gaps <= limit.astype(kind)[rows])
+                held, kept, open_ = [(rows[near_], spots[near_], gaps[near_])], len(near_), 0
+        rows, spots, _ = held[0]
+        exact = [np.zeros(0)]
+        for a in range(0, len(rows), _AGAIN):
+            r, c = rows[a : a + _AGAIN], spots[a : a + _AGAIN]
+            exact.append(((vectors[c].astype(np.float64) - strip[r].astype(np.float64)) ** 2).sum(1))
+        rows, spots, exact = _first_k(rows, spots, np.concatenate(exact), ids, k)
+        found.append((rows + first, spots, exact))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -193,7 +208,8 @@ def knn_topk(
         partial = _carried(head, c, k)
     else:
         blocks = -(-q.count() // pair_rows)
-        rows = c.count()
+        # for the size of the shards only: nothing has to be embedded for it
+        rows = corpus.count()
         shards = max(1, -(-rows // shard_rows), min(2 * c.sparkSession.sparkContext.defaultParallelism, rows // LEAST_SHARD))
         partial = _blocked(q, c, k, blocks, shards)
     ranked = _merge(partial, k).withColumn("score", similarity(F.col("distance")))
@@ -230,38 +246,63 @@ def source_rows(hits: DataFrame, documents: DataFrame, text: str = "text", sourc
     )
 
 
-def _buckets(text: str, dimension: int) -> Column:
-    """The bucket of every word: the first 32 bits of its md5 by ``dimension``."""
-    words = F.regexp_extract_all(F.lower(quoted(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    placed = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimension).cast("int"))
-    return F.coalesce(placed, F.array().cast("array<int>"))
+class _Buckets:
+    """The bucket of every word: the first 32 bits of its md5 by ``dimension``, looked
+    up once for the different words of a batch."""
+
+    def __init__(self, dimension: int, letters_: np.ndarray):
+        self.dimension, self.letters, self.known = dimension, letters_, {}
+
+    def counts(self, plain: pa.Array, words: pa.Array) -> np.ndarray:
+        """(rows x dimension) words in each bucket."""
+        row, words = words_of(self.letters, plain, words)
+        coded, known, found = words.dictionary_encode(), self.known, []
+        if len(known) > _KNOWN_WORDS:
+            known.clear()
+        for word in coded.dictionary.to_pylist():
+            at = known.get(word)
+            if at is None:
+                at = known[word] = int(md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16) % self.dimension
+            found.append(at)
+        at = row * self.dimension + np.array(found, np.int64)[coded.indices.to_numpy()]
+        return np.bincount(at, minlength=len(plain) * self.dimension).reshape(-1, self.dimension)
 
 
 def bucket_weights(df: DataFrame, text: str = "text", dimension: int = 384) -> np.ndarray:
     """Inverse document frequency of every bucket; one number per dimension comes to the driver."""
-    held = df.select(F.explode(F.array_distinct(_buckets(text, dimension))).alias("b")).groupBy("b").count().collect()
-    found = np.zeros(dimension)
-    for b, n in held:
+
+    table = letters(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, held = _Buckets(dimension, table), np.zeros(dimension + 1, np.int64)
+        for batch in batches:
+            held[:-1] += (buckets.counts(*batch.columns) > 0).sum(axis=0)
+            held[-1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimension + 1)), pa.array(held)], names=["b", "n"])
+
+    found = np.zeros(dimension + 1)
+    for b, n in df.select(*word_columns(text)).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n")).collect():
         found[b] = n
-    return np.log((df.count() + 1) / (found + 1))
+    return np.log((found[-1] + 1) / (found[:-1] + 1))
 
 
 def embed(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """Unit-length weighted bucket counts in column ``embedding``; a text without
     words, or of buckets without weight only, has the zero vector."""
-    dimension = len(weights)
+    dimension, table = len(weights), letters(df.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        buckets = _Buckets(dimension, table)
         for batch in batches:
-            out = []
-            for buckets in batch:
-                v = np.bincount(buckets, minlength=dimension) * weights
+            counts = buckets.counts(*batch)
+            out = np.zeros(counts.shape, np.float32)
+            for row, v in enumerate(counts * weights):
                 size = np.sqrt((v * v).sum())
-                out.append((v / size if size > 0 else v).astype(np.float32))
-            yield pd.Series(out)
+                out[row] = v / size if size > 0 else v
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dimension, pa.int32()), pa.array(out.ravel()))
 
-    return df.withColumn("embedding", vectors(_buckets(text, dimension)))
+    return df.withColumn("embedding", vectors(*word_columns(text)))
 
 
 def hash_embed(df: DataFrame, text: str = "text", dimension: int = 384) -> DataFrame:

@@ -149,3 +149,37 @@ def test_large_numbers_and_few_vectors():
     vectors = np.array([[1e20, 0.0], [0.0, 1e20], [2e20, 0.0]])
     rows, spots, _ = rt._closest(np.array([[1.1e20, 0.0]]), vectors, np.array([5, 4, 3]), 9)
     assert rows.tolist() == [0, 0, 0] and spots.tolist() == [0, 2, 1]
+
+
+def test_few_pairs_are_measured_again(monkeypatch):
+    draw = np.random.default_rng(3)
+    queries, vectors = (draw.normal(size=(n, 48)).astype(np.float32) for n in (30, 5000))
+    monkeypatch.setattr(rt, "_TILE_ROWS", 100)
+    measured, first_k = [], rt._first_k
+
+    def counted(rows, *rest):
+        measured.append(len(rows))
+        return first_k(rows, *rest)
+
+    monkeypatch.setattr(rt, "_first_k", counted)
+    rows, spots, gaps = rt._closest(queries, vectors, np.arange(5000), 10)
+    assert sum(measured) < 1.5 * 30 * 10
+    exact = ((queries[:, None].astype(float) - vectors[None].astype(float)) ** 2).sum(2)
+    assert np.array_equal(spots.reshape(30, 10), np.argsort(exact, axis=1, kind="stable")[:, :10])
+    assert np.allclose(gaps, exact[rows, spots], rtol=1e-12)
+
+
+def test_the_corpus_is_not_embedded_to_count_it(spark):
+    touched = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        touched.add(1)
+        return [float(i), 1.0]
+
+    ids = spark.range(60)
+    corpus = ids.select(F.col("id").alias("doc_id"), vector("id").alias("vector"))
+    asked = ids.select(F.col("id").alias("query_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    made = rt.knn_topk(asked, corpus, 1, block_rows=4)
+    assert touched.value == 0
+    assert made.where("query_id = doc_id").count() == 60
