@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ampersift.functions.columns import cosine, quoted, similarity
 from ampersift.functions.words import letters, word_columns, words_of
-from ampersift.session import small_side
+from ampersift.session import small_side, trim
 
 # Most query vectors carried to the tasks in one closure (2,048 x 384 doubles = 6 MB).
 BLOCK_ROWS = 2048
@@ -30,7 +30,7 @@ LEAST_SHARD = 4096
 _STRIP_ROWS, _TILE_ROWS, _AGAIN = 256, 4096, 16_384
 _MERGE_LANES = 64
 # Words whose buckets a task remembers.
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 100_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -164,6 +164,7 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, blocks: int, shards:
             ids, lane = right["doc_id"].to_numpy(), right["shard"][0].as_py() % _MERGE_LANES
             rows, spots, gaps = _closest(_matrix(left["vector"]), _matrix(right["vector"]), ids, k)
             found = left["query_id"].to_numpy()[rows], ids[spots], gaps
+        trim()
         return pa.Table.from_arrays(
             [*map(pa.array, found), pa.array(np.full(len(found[0]), lane, np.int32))], names=["query_id", "doc_id", "distance", "lane"]
         )
@@ -278,6 +279,8 @@ def bucket_weights(df: DataFrame, text: str = "text", dimension: int = 384) -> n
         for batch in batches:
             held[:-1] += (buckets.counts(*batch.columns) > 0).sum(axis=0)
             held[-1] += batch.num_rows
+        buckets = None
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimension + 1)), pa.array(held)], names=["b", "n"])
 
     found = np.zeros(dimension + 1)
@@ -301,6 +304,8 @@ def embed(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
                 size = np.sqrt((v * v).sum())
                 out[row] = v / size if size > 0 else v
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dimension, pa.int32()), pa.array(out.ravel()))
+        buckets = counts = out = None
+        trim()
 
     return df.withColumn("embedding", vectors(*word_columns(text)))
 
