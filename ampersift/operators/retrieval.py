@@ -30,7 +30,7 @@ LEAST_SHARD = 4096
 _STRIP_ROWS, _TILE_ROWS, _AGAIN = 256, 4096, 16_384
 _MERGE_LANES = 64
 # Words whose buckets a task remembers.
-_KNOWN_WORDS = 100_000
+_KNOWN_WORDS = 300_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
